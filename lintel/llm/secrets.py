@@ -27,8 +27,8 @@ KINDS = [
     ("hex", r"[0-9a-f]+", 0, 16),
 ]
 
-#: Candidates of the battery: long runs of base64 characters, either alphabet. Some digit must be among them.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Candidates of the battery: long runs of base64 characters, either alphabet, with a digit and a letter among them.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
 
 #: Largest |z| that a test of the battery accepts; accepted share of false discoveries; bins of -log10 p, up to MOST.
@@ -68,14 +68,14 @@ def _matches(text: Column, kind: int) -> Column:
     name, pattern, group, least = KINDS[kind]
     # a text can only hold a long enough value if this finds one, and looking for it is far cheaper
     sure = pattern[: pattern.rindex("+")] + f"{{{least - 4 * (name == 'access')},}}" + pattern[pattern.rindex("+") + 1 :]
-    kept = F.filter(_located(text, pattern, group), lambda m: m["n"] >= least)
+    # where the whole match counts it is a longest run, so asking for its length at once finds the same matches
+    kept = F.filter(_located(text, pattern if group else sure, group), lambda m: m["n"] >= least)
     spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("turn"), m["stop"].alias("stop"), F.lit(name).alias("kind")))
     return F.when(text.rlike(sure), spans).otherwise(F.array().cast(SPAN))
 
 
 def _tokens(text: Column) -> Column:
-    kept = F.filter(_located(text, TOKEN, 0), lambda m: m["token"].rlike("[0-9]") & m["token"].rlike("[A-Za-z]"))
-    return F.when(text.rlike(TOKEN), kept)
+    return F.when(text.rlike(TOKEN), _located(text, TOKEN, 0))
 
 
 def battery(token: Column) -> Column:
