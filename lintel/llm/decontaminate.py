@@ -24,6 +24,9 @@ from .common import LOWER, SPACE, UPPER, ascii_lower, materialise, sized_broadca
 #: MinHash values of a set, and the accepted chance that bands miss a pair.
 HASHES, MISS = 64, 1e-6
 
+#: Partition of the largest possible array.
+LAST_PART = 62
+
 #: Rows in a band that a partition may use.
 BAND_ROWS = (2, 1)
 
@@ -41,6 +44,11 @@ def shingles(df: DataFrame, keep: list[Column], text: str, k: int) -> DataFrame:
     return inner.select(*words.columns[:-1], F.xxhash64(*[f"w{i}" for i in range(k)]).alias("shingle"))
 
 
+def part_of(size: Column) -> Column:
+    """Size partition: two for each power of two."""
+    return F.floor(2 * F.log2(size.cast("double"))).cast("int")
+
+
 def minhash(values: Column) -> Column:
     """HASHES values; the seed is hashed with each element."""
 
@@ -73,12 +81,14 @@ def find_contained(docs: DataFrame, items: DataFrame, shingle: int = 5, percent:
     size = F.size("held")
     domains = materialise(
         hits.groupBy("row", "doc_id").agg(F.collect_set("shingle").alias("held"))
-        .withColumns({"part": F.floor(2 * F.log2(size.cast("double"))).cast("int"), "sketch": minhash(F.col("held"))}),
+        .withColumns({"part": part_of(size), "sketch": minhash(F.col("held"))}),
         "domains",
     )
 
     parts = domains.groupBy("part").agg(F.max(size).alias("largest"))
-    asked = targets.withColumn("sketch", minhash(F.col("asked"))).join(F.broadcast(parts), F.col("largest") * 100 >= F.col("n_item") * percent)
+    least = F.ceil(F.col("n_item") * percent / 100)  # of a domain that holds the item
+    asked = targets.withColumn("sketch", minhash(F.col("asked"))).withColumn("part", F.explode(F.sequence(part_of(least), F.lit(LAST_PART))))
+    asked = asked.join(F.broadcast(parts), "part")
     t = percent / 100
     jaccard = t * F.col("n_item") / (F.col("n_item") + F.col("largest") - t * F.col("n_item"))
     miss = {r: F.pow(1 - F.pow(jaccard, r), HASHES // r) for r in BAND_ROWS}

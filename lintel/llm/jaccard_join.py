@@ -13,13 +13,13 @@ a weak part agree on another that both keep; a set with more weak parts keeps th
 that many documents share do not bring these together.
 
 Sets that are equal are one class from the start. Candidates of a signature are first checked against the class with the
-most shared signatures; classes of one signature that this leaves in different components are then checked with each
-other. Every link is checked on the full sets.
+most shared signatures, their centre. What may still link without it is found from the differences to the centre (see
+apart_pairs), so a large group of near copies never spells out all its pairs. Every link is checked on the full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, exp
 
 import numpy as np
@@ -186,6 +186,39 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def apart_pairs(star: DataFrame, group: DataFrame, both: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
+    """(a, b): pairs of classes around one centre that may link although the centre does not bring them together.
+
+    Say D(x) is what a class x and the centre c do not share. Then diff(x, y) = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a
+    link of x and y asks for an overlap of at least (|D(x)| + |D(y)| - k) / 2, where k is the most that a link's sizes
+    allow. If both link to c, they are together already; so say y does not, and |D(y)| exceeds its own k. That bounds the
+    overlap from below for each side alone: by half of |D(x)| plus the difference of sizes' share, and for y also by
+    |D(y)| - k. Two sets with such an overlap share one of their first elements in any fixed order (a prefix), and from
+    the place of the first shared element enough must follow. Elements that c lacks come first: edits are seldom shared.
+    """
+    label = lambda name, out: group.select(F.col("node").alias(name), F.col("component").alias(out))
+    placed = star.join(label("centre", "own"), "centre", "left").join(label("class_id", "part"), "class_id", "left")
+    placed = placed.withColumns({"own": F.coalesce("own", "centre"), "part": F.coalesce("part", "class_id")})
+    opened = placed.where("own <> part").select("centre").distinct()
+    share = F.lit((100 - percent) / (100 + percent))
+    size = F.col("n") + F.col("m") - 2 * F.col("same")
+    half = F.ceil((size + share * (F.col("n") - F.col("m"))) / 2 - 1e-9)
+    alone = F.greatest(F.lit(1), size - F.floor(share * (F.col("m") + F.col("m") * 100 / percent) + 1e-9))
+    apart = both(placed.join(opened, "centre"), "centre", "class_id").withColumns({"size": size, "short": size - half + 1, "long": size - alone + 1})
+    first = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
+    needed = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))
+    rows = apart.select("centre", "class_id", "part", "linked", "m", "size", "short", "long", F.posexplode(F.slice(first, F.lit(1), needed.cast("int"))).alias("at", "item"))
+    rows = materialise(rows, "apart")
+    x = rows.where("at < short").select("centre", "item", *[F.col(c).alias(f"x_{c}") for c in ("class_id", "part", "linked", "m", "size", "at")])
+    y = rows.where("not linked").select("centre", "item", *[F.col(c).alias(f"y_{c}") for c in ("class_id", "part", "m", "size", "short", "long", "at")])
+    most = F.floor(share * (F.col("x_m") + F.col("y_m")) + 1e-9)
+    follow = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    may = (F.col("x_part") != F.col("y_part")) & (2 * follow >= F.col("x_size") + F.col("y_size") - most)
+    sides = F.when(F.col("x_linked"), F.col("y_at") < F.col("y_long")).otherwise((F.col("y_at") < F.col("y_short")) & (F.col("x_class_id") < F.col("y_class_id")))
+    met = x.join(y, (x["centre"] == y["centre"]) & (x["item"] == y["item"]) & may & sides)
+    return met.select(F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, links) for each row of `docs` (doc_id, text).
 
@@ -209,7 +242,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
     degree = members.join(sizes, "sig").groupBy("class_id").agg(F.sum("n").alias("degree"))
     centre = members.join(degree, "class_id").groupBy("sig").agg(F.max_by("class_id", F.struct("degree", "class_id")).alias("centre"))
-    star = members.join(centre, "sig").where("centre <> class_id").select(F.least("centre", "class_id").alias("a"), F.greatest("centre", "class_id").alias("b")).distinct()
+    star = members.join(centre, "sig").where("centre <> class_id").select("centre", "class_id").distinct()
 
     needed = members.select("class_id").distinct().join(classes, "class_id").select("class_id", "rep", "one", "two")
     needed = materialise(needed, "needed")
@@ -219,22 +252,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
         "sets",
     )
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        left, right = held.select(F.col("class_id").alias("a"), F.col("items").alias("x")), held.select(F.col("class_id").alias("b"), F.col("items").alias("y"))
-        same = F.size(F.array_intersect("x", "y"))
-        return pairs.join(left, "a").join(right, "b").where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
+    def both(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """`pairs` with x and y, the sets of classes `a` and `b`."""
+        left, right = held.select(F.col("class_id").alias(a), F.col("items").alias("x")), held.select(F.col("class_id").alias(b), F.col("items").alias("y"))
+        return pairs.join(left, a).join(right, b)
 
-    first = materialise(linked(star), "links")
+    same = F.size(F.array_intersect("x", "y"))
+    link = lambda n, m, same: 100 * same >= percent * (n + m - same)
+    star = materialise(both(star, "centre", "class_id").select("centre", "class_id", F.size("x").alias("n"), F.size("y").alias("m"), same.alias("same")).withColumn("linked", link(F.col("n"), F.col("m"), F.col("same"))), "star")
+    first = star.where("linked").select(F.col("centre").alias("a"), F.col("class_id").alias("b"))
     group = materialise(components(first), "groups")
-    labelled = members.join(group, members["class_id"] == group["node"], "left").select("sig", "class_id", F.coalesce("component", "class_id").alias("part"))
-    several = labelled.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    apart = labelled.join(several.select("sig"), "sig")
-    other = apart.select("sig", F.col("class_id").alias("b"), F.col("part").alias("part_b"))
-    rest = (
-        apart.withColumnRenamed("class_id", "a").join(other, "sig").where("a < b and part <> part_b").select("a", "b").distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    second = materialise(linked(rest), "links")
+    rest = apart_pairs(star, group, both, percent).join(star.select(F.least("centre", "class_id").alias("a"), F.greatest("centre", "class_id").alias("b")).distinct(), ["a", "b"], "left_anti")
+    second = materialise(both(rest, "a", "b").where(link(F.size("x"), F.size("y"), same)).select("a", "b"), "links")
     if second.isEmpty():
         links, final = first, group
     else:
