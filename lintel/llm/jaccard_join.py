@@ -186,25 +186,26 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def apart_pairs(star: DataFrame, group: DataFrame, both: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
+def apart_pairs(star: DataFrame, buckets: DataFrame, group: DataFrame, both: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
     """(a, b): pairs of classes around one centre that may link although the centre does not bring them together.
 
     Say D(x) is what a class x and the centre c do not share. Then diff(x, y) = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a
     link of x and y asks for an overlap of at least (|D(x)| + |D(y)| - k) / 2, where k is the most that a link's sizes
     allow. If both link to c, they are together already; so say y does not, and |D(y)| exceeds its own k. That bounds the
-    overlap from below for each side alone: by half of |D(x)| plus the difference of sizes' share, and for y also by
-    |D(y)| - k. Two sets with such an overlap share one of their first elements in any fixed order (a prefix), and from
+    overlap from below for each side alone: by |D| - k, and for x by half of |D(x)| plus the difference of sizes' share. Two sets with such an overlap share one of their first elements in any fixed order (a prefix), and from
     the place of the first shared element enough must follow. Elements that c lacks come first: edits are seldom shared.
     """
     label = lambda name, out: group.select(F.col("node").alias(name), F.col("component").alias(out))
-    placed = star.join(label("centre", "own"), "centre", "left").join(label("class_id", "part"), "class_id", "left")
-    placed = placed.withColumns({"own": F.coalesce("own", "centre"), "part": F.coalesce("part", "class_id")})
-    opened = placed.where("own <> part").select("centre").distinct()
+    placed = star.join(label("class_id", "part"), "class_id", "left").withColumn("part", F.coalesce("part", "class_id"))
+    # only members of a bucket that holds, its centre aside, more than one component
+    around = buckets.where("centre <> class_id").join(label("class_id", "part"), "class_id", "left").withColumn("part", F.coalesce("part", "class_id"))
+    mixed = around.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
+    opened = around.join(mixed, "sig").select("centre", "class_id").distinct()
     share = F.lit((100 - percent) / (100 + percent))
     size = F.col("n") + F.col("m") - 2 * F.col("same")
     half = F.ceil((size + share * (F.col("n") - F.col("m"))) / 2 - 1e-9)
     alone = F.greatest(F.lit(1), size - F.floor(share * (F.col("m") + F.col("m") * 100 / percent) + 1e-9))
-    apart = both(placed.join(opened, "centre"), "centre", "class_id").withColumns({"size": size, "short": size - half + 1, "long": size - alone + 1})
+    apart = both(placed.join(opened, ["centre", "class_id"]), "centre", "class_id").withColumns({"size": size, "short": size - F.greatest(half, alone) + 1, "long": size - alone + 1})
     first = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
     needed = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))
     rows = apart.select("centre", "class_id", "part", "linked", "m", "size", "short", "long", F.posexplode(F.slice(first, F.lit(1), needed.cast("int"))).alias("at", "item"))
@@ -262,7 +263,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     star = materialise(both(star, "centre", "class_id").select("centre", "class_id", F.size("x").alias("n"), F.size("y").alias("m"), same.alias("same")).withColumn("linked", link(F.col("n"), F.col("m"), F.col("same"))), "star")
     first = star.where("linked").select(F.col("centre").alias("a"), F.col("class_id").alias("b"))
     group = materialise(components(first), "groups")
-    rest = apart_pairs(star, group, both, percent).join(star.select(F.least("centre", "class_id").alias("a"), F.greatest("centre", "class_id").alias("b")).distinct(), ["a", "b"], "left_anti")
+    rest = apart_pairs(star, members.join(centre, "sig"), group, both, percent).join(star.select(F.least("centre", "class_id").alias("a"), F.greatest("centre", "class_id").alias("b")).distinct(), ["a", "b"], "left_anti")
     second = materialise(both(rest, "a", "b").where(link(F.size("x"), F.size("y"), same)).select("a", "b"), "links")
     if second.isEmpty():
         links, final = first, group
