@@ -5,11 +5,88 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lintel.functions import rules
+from lintel.operators import documents, relational
+from lintel.plans import corpus, scripts
+from lintel.sources.tables import run_sql
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _sql_query(text: str) -> Query:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, text)
+
+
+def an_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All content rules over the corpus of statements."""
+    return rules.findings(run_sql(spark, sf_dir, corpus.query_corpus()))
+
+
+def an_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, valid, errors, warnings): a statement is valid if no rule finds an error in it."""
+    queries = run_sql(spark, sf_dir, corpus.query_corpus())
+    found = rules.findings(queries).groupBy("query_id").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
+    joined = queries.select("query_id").join(found, "query_id", "left").na.fill(0, ["errors", "warnings"])
+    return joined.select("query_id", (F.col("errors") == 0).alias("valid"), "errors", "warnings")
+
+
+def an_stmt_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = run_sql(spark, sf_dir, corpus.query_corpus())
+    return queries.groupBy(rules.statement_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def an_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, corpus.query_corpus()).select("query_id", rules.strip(F.col("text")).alias("plain"))
+
+
+def an_tcl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts.transaction_findings(run_sql(spark, sf_dir, corpus.script_corpus()))
+
+
+def an_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of scripts of sixteen statements each."""
+    judged = an_validity(spark, sf_dir).withColumn("script_id", F.floor(F.col("query_id") / 16))
+    return scripts.health(judged)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an_findings(spark, sf_dir)
+
+
+_corpus = corpus.query_corpus().replace("STRING", "VARCHAR")
+_found = rules.findings_sql(_corpus)
+_valid = f"""
+SELECT query_id, count(*) FILTER (severity = 'ERROR') = 0 AS valid, count(*) FILTER (severity = 'ERROR') AS errors,
+       count(*) FILTER (severity = 'WARNING') AS warnings
+FROM (SELECT query_id, severity FROM ({_found}) UNION ALL SELECT o_orderkey, NULL FROM orders) GROUP BY query_id"""
+
+
+def _strip_sql() -> str:
+    plain = "text"
+    for pattern, to in rules.STRIP:
+        pattern, to = pattern.replace("'", "''"), to.replace("'", "''")
+        plain = f"regexp_replace({plain}, '{pattern}', '{to}', 'g')"
+    return f"SELECT query_id, {plain} AS plain FROM ({_corpus})"
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {k: _sql_query(v) for k, v in relational.SQL.items()}
+    return found | documents.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return (
+        relational.SQL
+        | relational.ORACLE
+        | documents.ORACLE
+        | {
+            "an_findings": _found,
+            "an_validity": _valid,
+            "an_stmt_kind": f"SELECT CASE WHEN starts_with(text, 'db.') THEN 'MONGO' ELSE upper(regexp_extract(text, '^\\s*(\\w+)', 1)) END AS kind, count(*) AS n FROM ({_corpus}) GROUP BY 1",
+            "an_strip": _strip_sql(),
+            "an_tcl": scripts.TRANSACTION_SQL.format(corpus=corpus.script_corpus()),
+            "an_health": f"SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, CAST(floor(avg(CASE WHEN errors > 0 THEN 25 WHEN warnings > 0 THEN 78 ELSE 100 END) + 0.5) AS BIGINT) AS score FROM ({_valid}) GROUP BY 1",
+        }
+    )
