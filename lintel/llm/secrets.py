@@ -80,10 +80,14 @@ def _tokens(text: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """Struct of band, score (excess of chi-squared over its mean, in standard deviations), runs_z, serial_z of a token."""
-    n = F.length(token).cast("double")
-    letters = F.when(token.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike(r"^[A-Z2-7]+$"), 32.0).when(token.rlike(r"^(?:[0-9a-z]+|[0-9A-Z]+)$"), 36.0).otherwise(64.0)
+    alphabet = F.when(token.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike(r"^[A-Z2-7]+$"), 32.0).when(token.rlike(r"^(?:[0-9a-z]+|[0-9A-Z]+)$"), 36.0).otherwise(64.0)
+    # bound once: inside the fold over characters, the patterns would be tried again at each of them
+    return let(F.struct(token.alias("token"), F.length(token).cast("double").alias("n"), alphabet.alias("letters")), lambda c: _tests(c["token"], c["n"], c["letters"]))
+
+
+def _tests(token: Column, n: Column, letters: Column) -> Column:
     plain = F.when(letters < 64, F.lower(token)).otherwise(token)
-    squares = F.aggregate(F.array(*[F.lit(c) for c in ALPHABET]), F.lit(0.0), lambda a, c: a + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), 2.0))
+    squares = F.aggregate(F.array(*[F.lit(c) for c in ALPHABET]), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(plain, c, F.lit(""))), 2.0))
     names = ("first", "last", "sum", "squares", "products", "above", "runs")
     zero = F.struct(*[F.lit(None).cast("double").alias(x) if x in names[:2] else F.lit(0.0).alias(x) for x in names])
 
