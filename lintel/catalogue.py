@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import rules
-from lintel.operators import documents, relational
+from lintel.operators import documents, nosql, relational
 from lintel.plans import corpus, scripts
 from lintel.sources.tables import run_sql
 
@@ -72,7 +72,7 @@ def _strip_sql() -> str:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {k: _sql_query(v) for k, v in relational.SQL.items()}
+    found: dict[str, Query] = {k: _sql_query(v) for k, v in (relational.SQL | nosql.SQL).items()}
     return found | documents.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health)}
 
 
@@ -80,6 +80,8 @@ def oracle_sql() -> dict[str, str]:
     return (
         relational.SQL
         | relational.ORACLE
+        | nosql.SQL
+        | nosql.ORACLE
         | documents.ORACLE
         | {
             "an_findings": _found,
