@@ -7,10 +7,10 @@ A document's set holds the distinct shingles of its words. Two documents link wh
 Sets are dealt to size bands; a set goes to the band of its size and to that of the smallest size it can link with, so
 two sets that can link meet in the band of the smaller. Within a band the largest possible difference is k, and the
 feature domain is cut into ``k + 1 + spare`` parts (a fixed function of the shingle's hash). A difference of k touches k
-parts at most, so two linked sets agree on ``spare + 1`` parts. A signature is a part's whole content. A set may leave
-out up to `spare` weak parts (empty, or with only shingles that are common in the corpus), for linked sets that agree on
-a weak part agree on another that both keep; a set with more weak parts keeps them all. So no link is lost, and passages
-that many documents share do not bring these together.
+parts at most, so two linked sets agree on ``spare + 1`` parts. A signature is a part's whole content. Parts are ranked by
+their contents, those with shingles that are not common in the corpus first, and a set signs with its first ``k + 1``:
+of the parts that two linked sets agree on, `spare` at least rank below the first, so neither leaves that one out. So no
+link is lost, and passages that many documents share seldom bring these together.
 
 Sets that are equal are one class from the start. Candidates of a signature are first checked against the class with the
 most shared signatures, their centre. What may still link without it is found from the differences to the centre (see
@@ -122,10 +122,9 @@ def _signatures(k: int, percent: int, common: np.ndarray):
                     total[part[first]] = np.add.reduceat(content, first)
                     strong = np.zeros(parts, dtype=bool)
                     strong[part if usual is None else part[~usual]] = True
-                    if parts - int(strong.sum()) > spare:
-                        strong[:] = True
-                    keep = np.flatnonzero(strong)
-                    sig.append(mix(total[keep] + mix(keep.astype(np.uint64) + U(band << 40))))
+                    code = mix(total + mix(np.arange(parts, dtype=np.uint64) + U(band << 40)))
+                    keep = np.lexsort((code, ~strong))[: parts - spare]  # ranked by content alone, so alike in every set
+                    sig.append(code[keep])
                     one.append(np.full(len(keep), d[0], dtype=np.uint64))
             if sig:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(sig)), signed(np.concatenate(one))], names=["sig", "one"])
@@ -237,13 +236,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     )
     signatures = docs.mapInArrow(_signatures(shingle, percent, common_shingles(docs, shingle)), "sig long, one long")
     bucket = Window.partitionBy("sig")
-    members = signatures.withColumns({"low": F.min("one").over(bucket), "high": F.max("one").over(bucket)}).where("low < high").select("sig", "one").distinct()
-    members = materialise(members.join(classes.select("one", "class_id"), "one").select("sig", "class_id"), "members")
+    members = signatures.withColumns({"low": F.min("one").over(bucket), "high": F.max("one").over(bucket), "n": F.count("*").over(bucket)})
+    members = members.where("low < high").select("sig", "one", "n").distinct()
+    members = materialise(members.join(classes.select("one", "class_id"), "one").select("sig", "class_id", "n"), "members")
 
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
-    degree = members.join(sizes, "sig").groupBy("class_id").agg(F.sum("n").alias("degree"))
-    centre = members.join(degree, "class_id").groupBy("sig").agg(F.max_by("class_id", F.struct("degree", "class_id")).alias("centre"))
-    star = members.join(centre, "sig").where("centre <> class_id").select("centre", "class_id").distinct()
+    degree = members.groupBy("class_id").agg(F.sum("n").alias("degree"))
+    centre = F.max_by("class_id", F.struct("degree", "class_id")).over(bucket)
+    buckets = materialise(members.join(degree, "class_id").select("sig", "class_id", centre.alias("centre")), "buckets")
+    star = buckets.where("centre <> class_id").select("centre", "class_id").distinct()
 
     needed = members.select("class_id").distinct().join(classes, "class_id").select("class_id", "rep", "one", "two")
     needed = materialise(needed, "needed")
@@ -263,7 +263,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     star = materialise(both(star, "centre", "class_id").select("centre", "class_id", F.size("x").alias("n"), F.size("y").alias("m"), same.alias("same")).withColumn("linked", link(F.col("n"), F.col("m"), F.col("same"))), "star")
     first = star.where("linked").select(F.col("centre").alias("a"), F.col("class_id").alias("b"))
     group = materialise(components(first), "groups")
-    rest = apart_pairs(star, members.join(centre, "sig"), group, both, percent).join(star.select(F.least("centre", "class_id").alias("a"), F.greatest("centre", "class_id").alias("b")).distinct(), ["a", "b"], "left_anti")
+    rest = apart_pairs(star, buckets, group, both, percent).join(star.select(F.least("centre", "class_id").alias("a"), F.greatest("centre", "class_id").alias("b")).distinct(), ["a", "b"], "left_anti")
     second = materialise(both(rest, "a", "b").where(link(F.size("x"), F.size("y"), same)).select("a", "b"), "links")
     if second.isEmpty():
         links, final = first, group
