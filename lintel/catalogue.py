@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lintel.functions import rules
 from lintel.operators import documents, nosql, relational
-from lintel.plans import corpus, scripts
+from lintel.plans import analysis, corpus, scripts
 from lintel.sources.tables import run_sql
+from lintel.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,18 @@ def an_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.health(judged)
 
 
+def an_script_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-MULTI-001 for scripts of sixteen statements with two or more invalid ones."""
+    judged = an_validity(spark, sf_dir).groupBy(F.floor(F.col("query_id") / 16).alias("script_id")).agg(F.count_if(~F.col("valid")).alias("blocking"))
+    return judged.where("blocking >= 2").withColumn("code", F.lit("SCR-MULTI-001"))
+
+
+def an_custom_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement's health for an engine of one's own: 100 if valid, else 25 less for each error, not below 0."""
+    judged = an_validity(spark, sf_dir)
+    return judged.select("query_id", F.when(F.col("valid"), 100).otherwise(F.greatest(F.lit(0), 100 - 25 * F.col("errors"))).cast("long").alias("score"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an_findings(spark, sf_dir)
 
@@ -72,8 +85,8 @@ def _strip_sql() -> str:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {k: _sql_query(v) for k, v in (relational.SQL | nosql.SQL).items()}
-    return found | documents.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health)}
+    found: dict[str, Query] = {k: _sql_query(v) for k, v in (relational.SQL | nosql.SQL | analysis.SQL).items()}
+    return found | documents.QUERIES | windows.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,11 +96,15 @@ def oracle_sql() -> dict[str, str]:
         | nosql.SQL
         | nosql.ORACLE
         | documents.ORACLE
+        | analysis.ORACLE
+        | windows.ORACLE
         | {
             "an_findings": _found,
             "an_validity": _valid,
             "an_stmt_kind": f"SELECT CASE WHEN starts_with(text, 'db.') THEN 'MONGO' ELSE upper(regexp_extract(text, '^\\s*(\\w+)', 1)) END AS kind, count(*) AS n FROM ({_corpus}) GROUP BY 1",
             "an_strip": _strip_sql(),
+            "an_script_flag": f"SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, count(*) AS blocking, 'SCR-MULTI-001' AS code FROM ({_valid}) WHERE NOT valid GROUP BY 1 HAVING count(*) >= 2",
+            "an_custom_health": f"SELECT query_id, CAST(CASE WHEN valid THEN 100 ELSE greatest(0, 100 - 25 * errors) END AS BIGINT) AS score FROM ({_valid})",
             "an_tcl": scripts.TRANSACTION_SQL.format(corpus=corpus.script_corpus()),
             "an_health": f"SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, CAST(floor(avg(CASE WHEN errors > 0 THEN 25 WHEN warnings > 0 THEN 78 ELSE 100 END) + 0.5) AS BIGINT) AS score FROM ({_valid}) GROUP BY 1",
         }
