@@ -122,6 +122,20 @@ def test_media_round_trip(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:])) and len(r["times"]) == len(r["codes"])
 
 
+def test_media_covers_every_byte(spark):
+    from itertools import product
+
+    tail = [(b"\x7f" * n + b"\0" * n) * (32 // n) for n in (2, 4, 8, 16)]
+    texts = [("small cat " * 128)[:n] + t.decode() for n, t in product((256, 384, 640, 1280), tail)]  # the last 64 bytes are no whole hop
+    got = {r["doc_id"]: r for r in media.add_media(docs(spark, list(enumerate(texts))), keep_media=True).collect()}
+    assert all(len({got[i]["feature"] for i in range(at, at + 4)}) == 4 for at in range(0, 16, 4))
+    assert [got[at]["feature"].split(":")[0] for at in range(0, 16, 4)] == ["2", "3", "5", "10"]
+    for r in got.values():
+        checksum = zlib.crc32(b"".join(x.to_bytes(4, "little", signed=True) for x in [*r["times"], *r["codes"]]))
+        assert r["feature"].split(":")[1:] == [str(len(r["codes"])), f"{checksum:08x}"]
+    assert {"media", "times", "codes"} <= set(media.code_media(docs(spark, []).selectExpr("struct(doc_id) AS doc", "text")).columns)
+
+
 def test_toxicity_held_out(spark):
     got = queries.queries()["op4_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.97
