@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import table
 from .textkit import U, Words, column_bytes
 
-#: Texts that the scorer is trained on, about; hash buckets; passes; EM steps; share of good texts EM starts from.
+#: Distinct texts that the scorer is trained on at most; hash buckets; passes; EM steps; share of good texts EM starts from.
 TRAIN_ROWS, BUCKETS, EPOCHS, STEPS, PRIOR = 8_000, 1 << 18, 8, 200, 0.7
 
 #: Heuristics: name, statistic, good below or above, bad beyond; a value between abstains.
@@ -106,15 +106,33 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()
     for b in batches:
+        first = []
+        for i, h in enumerate(b.column(1).to_pylist()):
+            if h not in seen:  # a copy within this task adds nothing
+                seen.add(h), first.append(i)
+        b = b.take(pa.array(first, pa.int64()))
         rows = list(measured(b.column(0)))
         got = pattern_of(votes(np.array([s for _, s in rows]).reshape(-1, len(STATS))))
-        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array([term_ids(w, s).astype(np.int32) for w, s in rows], pa.list_(pa.int32()))], names=["pattern", "terms"])
+        terms = pa.array([term_ids(w, s).astype(np.int32) for w, s in rows], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(got), terms], names=["digest", "copies", "pattern", "terms"])
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """(digest, copies, pattern, terms) for TRAIN_ROWS distinct texts of `docs` (text) at most, drawn by their digests."""
+    docs = docs.select("text", F.xxhash64("text").alias("digest"))
+    drawn = docs.groupBy("digest").agg(F.count("*").alias("copies")).orderBy(F.xxhash64("digest"), "digest").limit(TRAIN_ROWS)
+    taken = docs.join(F.broadcast(drawn), "digest").select("text", "digest", "copies")
+    return taken.mapInArrow(_features, "digest long, copies long, pattern long, terms array<int>").dropDuplicates(["digest"])
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float, dict[int, float]]:
-    """(weights, bias, posterior by pattern). Patterns are counted over all rows of `docs`; there are 3 ** 7 at most."""
-    docs = docs.select(F.col(text).cast("string").alias("text"))
+    """(weights, bias, posterior by pattern). Patterns are counted over all rows of `docs`; there are 3 ** 7 at most.
+
+    The scorer learns from distinct texts, each weighted by its copies; a null text counts as empty.
+    """
+    docs = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = docs.mapInArrow(_patterns, "pattern long").groupBy("pattern").count().toArrow()
     weight = np.zeros(BUCKETS)
     if not found.num_rows:
@@ -122,9 +140,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float, dict[
     patterns, counts = found["pattern"].to_numpy(), found["count"].to_numpy()
     post, _ = em(patterns, counts)
     by = dict(zip(patterns.tolist(), post.tolist()))
-    share = int(min(1.0, TRAIN_ROWS / counts.sum()) * 1_000_000) + 1
-    got = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).mapInArrow(_features, "pattern long, terms array<int>").toArrow()
-    y = np.array([by[p] for p in got["pattern"].to_pylist()])
+    got = sample(docs).toArrow().sort_by("digest")
+    y, copies = np.array([by[p] for p in got["pattern"].to_pylist()]), got["copies"].to_numpy().astype(np.float64)
     lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     flat, size = lists.flatten().to_numpy().astype(np.int64), np.asarray(lists.value_lengths(), dtype=np.int64)
     start = np.concatenate(([0], np.cumsum(size)))
@@ -133,12 +150,13 @@ def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float, dict[
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             f = np.concatenate([flat[start[i] : start[i + 1]] for i in at]) if len(at) else flat[:0]
             local, scale = np.repeat(np.arange(len(at)), size[at]), 1 / np.sqrt(np.maximum(1, size[at]))
-            error = 1 / (1 + np.exp(-np.clip(bias + np.bincount(local, weight[f], len(at)) * scale, -30, 30))) - y[at]
+            share = copies[at] / max(1, copies[at].sum())
+            error = (1 / (1 + np.exp(-np.clip(bias + np.bincount(local, weight[f], len(at)) * scale, -30, 30))) - y[at]) * share
             ids, back = np.unique(f, return_inverse=True)
-            grad = np.bincount(back, (error * scale)[local], len(ids)) / max(1, len(at))
+            grad = np.bincount(back, (error * scale)[local], len(ids))
             sums[ids] += grad**2
             weight[ids] -= 0.3 * grad / np.sqrt(sums[ids])
-            bias -= 0.1 * error.mean() if len(at) else 0
+            bias -= 0.1 * error.sum()
     return weight, float(bias), by
 
 

@@ -155,6 +155,19 @@ def test_quality_agrees_with_labels(spark):
     assert sum(mean[1]) / len(mean[1]) > sum(mean[0]) / len(mean[0]) + 0.1
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 50)
+    rows = spark.range(3000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'one text many times' ELSE 'text ' || id END AS text")
+    got = quality.sample(rows.na.fill("", ["text"])).collect()
+    assert len(got) == 50 == len({r["digest"] for r in got}) and {r["copies"] for r in got} <= {1, 1000}
+    few = quality.sample(rows.where("text IS NULL OR text LIKE 'one%'").na.fill("", ["text"])).collect()
+    assert sorted(r["copies"] for r in few) == [1000, 1000]
+    sent, real = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: sent.append(real(df)) or sent[-1])
+    quality.train(rows)
+    assert len(sent) == 2 and max(t.num_rows for t in sent) <= 50
+
+
 def test_odd_rows_keep_their_place(spark):
     odd, labels = docs(spark, ODD), spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, labels).count() == len(ODD)
