@@ -24,7 +24,7 @@ from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, sized_broadcast, table
@@ -88,8 +88,8 @@ def _sizes(k: int):
                 d = digests(s)
                 n.append(len(s)), one.append(d[0]), two.append(d[1])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), signed(np.array(one, dtype=np.uint64)), signed(np.array(two, dtype=np.uint64))],
-                names=["doc_id", "n_shingles", "one", "two"],
+                [b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), signed(np.array(one, dtype=np.uint64)), signed(np.array(two, dtype=np.uint64))],
+                names=["doc_id", "digest", "length", "n_shingles", "one", "two"],
             )
 
     return run
@@ -219,18 +219,33 @@ def apart_pairs(star: DataFrame, buckets: DataFrame, group: DataFrame, both: Cal
     return met.select(F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b")).distinct()
 
 
+def row_key(prefix: str = "") -> list[Column]:
+    """What tells rows apart: doc_id, and digest and length of the text. Rows that agree in all are copies of one row."""
+    return [F.col("doc_id").cast("long").alias(f"{prefix}doc_id"), F.xxhash64("text").alias(f"{prefix}digest"), F.length("text").alias(f"{prefix}length")]
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, links) for each row of `docs` (doc_id, text).
 
-    component_id is the smallest doc_id that links reach; class_id names the rows with equal sets; links counts the
-    class's links found to other classes on the way to the components. A text that is null or without words has an
-    empty set, links with nothing and is its own component, as is a row whose doc_id is null (component_id null). Rows
-    that repeat a doc_id are judged by their own texts. Other columns are ignored; an empty table gives an empty one.
+    component_id is the smallest doc_id that links reach, null if all their doc_ids are; class_id names the rows with
+    equal sets; links counts the class's links found to other classes on the way to the components. A text that is null
+    or without words has an empty set, links with nothing and is its own component. Rows that repeat a doc_id are judged
+    by their own texts. Other columns are ignored; an empty table gives an empty one.
+    """
+    return keyed_components(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "class_id", "links")
+
+
+def keyed_components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """jaccard_components with digest and length of each row's text, and keep: the key of the component's row to keep.
+
+    That is the smallest (no doc_id, doc_id, digest, length) of the component; null for a row with an empty set.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = materialise(docs.mapInArrow(_sizes(shingle), "doc_id long, n_shingles long, one long, two long"), "sizes")
+    keyed = docs.select("doc_id", "text", *row_key()[1:])
+    sized = materialise(keyed.mapInArrow(_sizes(shingle), "doc_id long, digest long, length int, n_shingles long, one long, two long"), "sizes")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "length")
     classes = materialise(
-        sized.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        sized.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min(key).alias("key"))
         .withColumn("class_id", F.monotonically_increasing_id()),
         "classes",
     )
@@ -273,10 +288,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
 
     counted = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     placed = classes.join(final, classes["class_id"] == final["node"], "left").select(classes["*"], F.coalesce("component", classes["class_id"]).alias("part"))
-    smallest = placed.groupBy("part").agg(F.min("rep").alias("component_id"))
-    placed = placed.join(smallest, "part").join(counted, "class_id", "left").select("one", "two", "class_id", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    smallest = placed.groupBy("part").agg(F.min("rep").alias("component_id"), F.min("key").alias("keep"))
+    placed = placed.join(smallest, "part").join(counted, "class_id", "left").select("one", "two", "class_id", "component_id", "keep", F.coalesce("links", F.lit(0)).alias("links"))
     return sized.join(placed, ["one", "two"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links")
+        "doc_id", "digest", "length", "keep", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links")
     )
 
 
@@ -285,12 +300,27 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row with the smallest doc_id stays.
+    """The rows of `docs` without near copies: of each component exactly one row stays, one with the smallest doc_id.
 
-    Rows without a shingle link with nothing and stay, as do rows whose doc_id is null. Rows that repeat the doc_id that
-    stays are that same document and stay with it.
+    Rows are told apart by row_key, so a row goes for its own text only, also where doc_id is null (such a row stays only
+    if no row of its component has one) or repeated. Rows without a shingle link with nothing and stay.
     """
-    spark = docs.sparkSession
-    found = jaccard_components(docs, shingle, percent)
-    gone = materialise(found.where("n_shingles > 0 and component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(sized_broadcast(gone, gone.count(), 24), "doc_id", "left_anti").select(docs.columns)
+    found = keyed_components(docs, shingle, percent).where("n_shingles > 0").groupBy("doc_id", "digest", "length", "keep").agg(F.count("*").alias("rows"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("digest") == F.col("keep.digest")) & (F.col("length") == F.col("keep.length"))
+    judged = materialise(found.select("doc_id", "digest", "length", "rows", kept.alias("kept")).where("not kept or rows > 1"), "gone")
+    counts = judged.agg(F.count_if(~F.col("kept")), F.count_if("kept")).first()
+    gone = judged.where("not kept").select(F.col("doc_id").alias("g_doc_id"), F.col("digest").alias("g_digest"), F.col("length").alias("g_length"))
+    same = _same_row()
+    left = docs.join(sized_broadcast(gone, counts[0], 48), same, "left_anti").select(docs.columns)
+    if not counts[1]:
+        return left
+    again = judged.where("kept").select(F.col("doc_id").alias("g_doc_id"), F.col("digest").alias("g_digest"), F.col("length").alias("g_length"))
+    again = sized_broadcast(again, counts[1], 48)
+    names = [f"g_{x}" for x in ("doc_id", "digest", "length")]
+    once = left.join(again, same, "left_semi").select("*", *row_key("g_")).dropDuplicates(names).drop(*names)
+    return left.join(again, same, "left_anti").unionByName(once).select(docs.columns)
+
+
+def _same_row() -> Column:
+    own = [F.col("doc_id").cast("long"), F.xxhash64("text"), F.length("text")]
+    return own[0].eqNullSafe(F.col("g_doc_id")) & own[1].eqNullSafe(F.col("g_digest")) & own[2].eqNullSafe(F.col("g_length"))

@@ -181,6 +181,17 @@ def test_odd_rows_keep_their_place(spark):
     assert jaccard_join.drop_near_duplicates(odd).where("doc_id = 4").count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    near = lambda w, *at: " ".join("z" if i in at else x for i, x in enumerate(w))
+    rows = [(3, near(a)), (5, near(b)), (5, near(a)), (5, near(a, 1)), (None, near(a, 2)), (None, near(c)), (None, near(c)), (None, near(c, 3))]
+    rows += [(7, near(d)), (7, near(d)), (7, near(d, 4)), (8, near(d)), (None, None), (9, ""), (9, "")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_join.drop_near_duplicates(docs(spark, rows)).collect()]
+    words = [x for x in got if x[1]]
+    assert sorted(x[1][0] for x in words) == ["a", "b", "c", "d"] and {x[1][0]: x[0] for x in words} == {"a": 3, "b": 5, "c": None, "d": 7}
+    assert set(words) <= set(rows) and len(got) == 7
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert packing.pack_documents(none).count() == media.add_media(none).count() == secrets.find_secrets(none).count() == quality.score_quality(none).count() == 0
