@@ -1,6 +1,6 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-All languages share one filter: a slot holds one bit for each language, so a look-up of an n-gram (the AND of its slots)
+All languages share one filter: a slot holds one bit for each language, in as many words as they need, so a look-up of an n-gram (the AND of its slots)
 gives the set of languages that have it. A text's score for a language is the share of its n-grams that the filter gives
 to the language, corrected for the language's false-positive rate. N-grams are four bytes of lower-cased text; what is
 not a letter counts as a space.
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from .common import table
 from .textkit import CHUNK, column_bytes
 
-#: Texts of each language that the filter is built from, about; slots; look-ups of an n-gram; languages at most.
-TRAIN_ROWS, SLOTS, PROBES, LANGUAGES = 1500, 1 << 20, 3, 64
+#: Texts of each language that the filter is built from, about; slots; look-ups of an n-gram; languages of a mask word.
+TRAIN_ROWS, SLOTS, PROBES, WORD = 1500, 1 << 20, 3, 64
 
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate, over LEAST rows.
 SHARE, LEAST = 0.2, 3
@@ -51,7 +51,7 @@ def pieces(text: np.ndarray) -> Iterator[np.ndarray]:
 @dataclass
 class Filter:
     languages: list[str]
-    slots: np.ndarray  # one bit mask for each slot
+    slots: np.ndarray  # word by slot: bit masks of WORD languages each
     false: np.ndarray  # false-positive rate of each language
 
     def shares(self, text: np.ndarray) -> np.ndarray:
@@ -59,15 +59,18 @@ class Filter:
         found, total, n = np.zeros(len(self.languages)), 0, len(self.languages)
         for g in pieces(text):
             wide = g.astype(np.uint64)
-            mask = self.slots[((wide * _multiplier[0]) >> np.uint64(13)) & np.uint64(SLOTS - 1)]
-            for m in _multiplier[1:]:
-                mask = mask & self.slots[((wide * m) >> np.uint64(13)) & np.uint64(SLOTS - 1)]
+            at = [((wide * m) >> np.uint64(13)) & np.uint64(SLOTS - 1) for m in _multiplier]
             total += len(g)
-            if n <= 8:
-                count = np.bincount(mask, minlength=1 << n)
-                found += [count[(np.arange(len(count)) >> i & 1) > 0].sum() for i in range(n)]
-            else:
-                found += [np.count_nonzero(mask >> np.uint64(i) & np.uint64(1)) for i in range(n)]
+            for k, word in enumerate(self.slots):
+                mask = word[at[0]]
+                for x in at[1:]:
+                    mask = mask & word[x]
+                low, high = k * WORD, min(n, (k + 1) * WORD)
+                if n <= 8:
+                    count = np.bincount(mask, minlength=1 << n)
+                    found += [count[(np.arange(len(count)) >> i & 1) > 0].sum() for i in range(n)]
+                elif mask.any():
+                    found[low:high] += [np.count_nonzero(mask >> np.uint64(i) & np.uint64(1)) for i in range(high - low)]
         return np.clip((found / max(1, total) - self.false) / (1 - self.false), 0, 1)
 
 
@@ -85,30 +88,33 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(labelled: DataFrame) -> Filter | None:
     """A filter from `labelled` (text, lang; neither null), or None without rows.
 
-    About TRAIN_ROWS rows of each language are taken by a hash of their texts. The LANGUAGES most frequent languages count.
+    About TRAIN_ROWS rows of each language are taken by a hash of their texts. Every language counts.
     """
-    rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not rows:
         return None
     languages = sorted(rows, key=lambda x: (-rows[x], x))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, TRAIN_ROWS / rows[lang]) * 1_000_000) + 1)])
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
     taken = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
-    got = sample.mapInArrow(_counts, "lang string, gram long").groupBy("gram", "lang").count().where(F.col("count") >= F.least(F.lit(LEAST), F.lit(1 + min(taken.values(), default=0) // 20))).toArrow()
+    least = F.create_map(*[F.lit(x) for name in languages for x in (name, min(LEAST, 1 + taken.get(name, 0) // 20))])
+    got = sample.mapInArrow(_counts, "lang string, gram long").groupBy("gram", "lang").count().where(F.col("count") >= least[F.col("lang")]).toArrow()
     index = {lang: i for i, lang in enumerate(languages)}
     gram, at = np.unique(got["gram"].to_numpy().astype(np.uint64), return_inverse=True)
-    rate = np.zeros((len(gram), len(languages)))
     lang = np.array([index[x] for x in got["lang"].to_pylist()], dtype=np.int64)
-    rate[at, lang] = got["count"].to_numpy() / np.array([max(1, taken.get(x, 0)) for x in languages])[lang]
-    member = rate >= np.maximum(SHARE * rate.max(axis=1, keepdims=True), 1e-12) if len(gram) else rate > 0
+    rate = got["count"].to_numpy() / np.array([max(1, taken.get(x, 0)) for x in languages])[lang]
+    highest = np.zeros(len(gram))
+    np.maximum.at(highest, at, rate)
+    member = rate >= np.maximum(SHARE * highest[at], 1e-12)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    slots = np.zeros(SLOTS, dtype=kind)
+    slots = np.zeros((-(-len(languages) // WORD), SLOTS), dtype=kind)
+    fill = np.zeros(len(languages))
     for i in range(len(languages)):
-        g = gram[member[:, i]]
+        g, bit = gram[at[member & (lang == i)]], kind(1 << i % WORD)
         for m in _multiplier:
             place = ((g * m) >> np.uint64(13)) & np.uint64(SLOTS - 1)
-            slots[place] |= kind(1 << i)
-    fill = np.array([np.count_nonzero(slots >> kind(i) & kind(1)) / SLOTS for i in range(len(languages))])
+            slots[i // WORD, place] |= bit
+        fill[i] = np.count_nonzero(slots[i // WORD] & bit) / SLOTS
     return Filter(languages, slots, fill**PROBES)
 
 

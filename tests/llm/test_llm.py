@@ -147,6 +147,16 @@ def test_language_held_out(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.98
 
 
+def test_more_languages_than_a_mask_word(spark):
+    letters = "abcdefghijklm"
+    names = [f"l{a}{b}" for a in letters for b in letters[:6]]  # 78 languages
+    rows = [(f"q{n[1]}{n[2]}z x{n[2]}{n[1]}w ", n) for n in names for _ in range(2 if n == "lmf" else 4)]
+    model = language_id.build(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(model.languages) == names and model.languages[-1] == "lmf"
+    got = language_id.identify(spark.createDataFrame(rows, "text string, lang string"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_quality_agrees_with_labels(spark):
     got = queries.queries()["op7_quality"](spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").collect()
     mean = defaultdict(list)
