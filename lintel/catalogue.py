@@ -86,7 +86,7 @@ def _strip_sql() -> str:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {k: _sql_query(v) for k, v in (relational.SQL | nosql.SQL | analysis.SQL).items()}
-    return found | documents.QUERIES | windows.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health)}
+    return found | relational.QUERIES | documents.QUERIES | windows.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health)}
 
 
 def oracle_sql() -> dict[str, str]:
