@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintel.sources.shared import materialise
 from lintel.sources.tables import load
 
 _money = lambda x: f"CAST(sum(CAST({x} AS DECIMAL(18, 2))) AS DOUBLE)"
@@ -133,8 +134,6 @@ def top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows are range-partitioned in that order; counts by partition say which go in whole, and only the one at the cut is
     ranked.
     """
-    from lintel.llm.common import materialise  # the llm package may be missing
-
     order = [F.col("b").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]
     rows = load(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("b")).groupBy("b", "o_orderkey").agg(F.count("*").alias("copies"))
     dealt = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "dearest")
