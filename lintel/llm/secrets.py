@@ -18,7 +18,7 @@ from math import exp
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 #: Kind, pattern, group that holds the secret, fewest characters of that group.
 KINDS = [
@@ -40,28 +40,49 @@ BANDS, WORD_SCORE = 12, (12.0, 4.0)
 MATCHES = "array<struct<start:int,stop:int,n:int,token:string>>"
 SPAN = "array<struct<start:int,turn:int,stop:int,kind:string>>"
 
+#: Elements that a running fold copies at a time; code points of a text's chunk.
+BLOCK, CHUNK = 256, 4096
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with `value` computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element the fold (from 0) of those before it, by the associative `combine`.
+
+    Folds that grow an array copy it at each step, so they run within blocks and over one value a block.
+    """
+
+    def folded(part: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def whole(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), combine))
+        return F.flatten(F.zip_with(blocks, folded(totals, F.lit(0)), folded))
+
+    return let(values, lambda v: F.when(F.size(v) > BLOCK, let(cut(v), whole)).otherwise(folded(v, F.lit(0))))
+
+
 def _located(text: Column, pattern: str, group: int) -> Column:
     """For each match in order: start, stop (code points), the length of `group`, and the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("token"), F.length(m).alias("n")))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("token"), F.length(m).alias("n"), F.length(m).alias("width")))
     if group:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        pieces = F.zip_with(pieces, values, lambda p, v: F.struct(p["gap"].alias("gap"), p["token"].alias("token"), F.length(v).alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        stop = start + F.coalesce(F.length(p["token"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), p["n"].alias("n"), p["token"].alias("token")))
-        return F.struct(stop.alias("at"), F.when(p["token"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    return F.aggregate(pieces, zero, step)["out"]
+        pieces = F.zip_with(pieces, values, lambda p, v: F.struct(p["gap"].alias("gap"), p["token"].alias("token"), F.length(v).alias("n"), p["width"].alias("width")))
+    place = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["width"]).alias("stop"), p["n"].alias("n"), p["token"].alias("token"))
+    return let(pieces, lambda ps: F.zip_with(ps, _before(F.transform(ps, lambda p: p["gap"] + p["width"]), lambda a, x: a + x), place))
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -129,21 +150,27 @@ def _normal(z: Column) -> Column:
 def thresholds(docs: DataFrame, text: str = "text") -> list[float]:
     """For each length band the largest score that counts as random; nothing passes where it is -inf.
 
-    Words for the null distribution are the corpus's tokens of letters alone.
+    Words for the null distribution are the corpus's tokens of letters alone. The tests of all tokens are written once to
+    the shared folder, in one pass over the texts.
     """
     words = r"(?<![A-Za-z0-9+/_-])[A-Za-z]{16,}(?![A-Za-z0-9+/_-])"
-    plain = docs.where(F.col(text).rlike(words)).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(words), F.lit(0))).alias("token"))
-    other = docs.select(F.explode(_tokens(F.col(text))).alias("m")).select(F.col("m.token").alias("token"))
-    measured = lambda df: df.select(battery(F.col("token")).alias("b")).select("b.*")
-    null = {r["band"]: (r["mean"], r["spread"]) for r in measured(plain).groupBy("band").agg(F.avg("score").alias("mean"), F.stddev("score").alias("spread"), F.count("*").alias("n")).where("n >= 30 and spread > 0").collect()}
+    whole, none = F.col(text), F.array().cast("array<string>")
+    tagged = lambda tokens, plain: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(plain).alias("plain")))
+    plain = F.when(whole.rlike(words), F.regexp_extract_all(whole, F.lit(words), F.lit(0))).otherwise(none)
+    other = F.when(whole.rlike(TOKEN), F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0))).otherwise(none)
+    tokens = docs.select(F.explode(F.concat(tagged(plain, True), tagged(other, False))).alias("t")).select("t.*")
+    scratch = Scratch(docs.sparkSession)
+    tests = scratch.keep(tokens.select("plain", battery(F.col("token")).alias("b")).select("plain", "b.*"), "tests")
+    null = {r["band"]: (r["mean"], r["spread"]) for r in tests.where("plain").groupBy("band").agg(F.avg("score").alias("mean"), F.stddev("score").alias("spread"), F.count("*").alias("n")).where("n >= 30 and spread > 0").collect()}
     null = [null.get(b, WORD_SCORE) for b in range(BANDS)]
     mean, spread = F.array(*[F.lit(float(m)) for m, _ in null]), F.array(*[F.lit(float(s)) for _, s in null])
-    scored = measured(other)
+    scored = tests.where(~F.col("plain"))
     z = (F.col("score") - F.element_at(mean, F.col("band") + 1)) / F.element_at(spread, F.col("band") + 1)
     scored = scored.withColumn("p", F.when(_passes({k: F.col(k) for k in ("score", "runs_z", "serial_z")}), _normal(z)).otherwise(F.lit(1.0)))
     step = MOST / BINS
     level = F.least(F.lit(BINS - 1), F.floor(F.when(F.col("p") > 0, -F.log10("p")).otherwise(F.lit(MOST)) / step)).cast("int")
     table_ = scored.groupBy(level.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()
+    scratch.clear()
     tested, passed, cut = sum(r["n"] for r in table_), 0, None
     for r in table_:  # from the smallest p: the largest bin-end p with p <= share * rank / tests
         passed += r["n"]
@@ -170,8 +197,9 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with column secrets: an array of (start, turn, stop, kind), by start, then kind in the order of KINDS.
 
     Start and stop are code points, stop exclusive. Spans of the patterns may overlap between kinds; spans of the battery
-    (kind random) overlap none of those. A null text counts as empty and has none. A column named secrets is replaced;
-    other columns, repeated rows and row count stay.
+    (kind random) overlap none of those. A null text counts as empty and has none. Texts of any length and number of
+    matches are searched whole. A column named secrets is replaced; other columns, repeated rows and row count stay. An
+    empty table gives an empty one.
     """
     limits = thresholds(docs, text)
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -179,38 +207,59 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("secrets", base)
     if max(limits) > float("-inf"):
         limit = F.array(*[F.lit(x) for x in limits])
-
-        def random(m: Column) -> Column:
-            good = let(battery(m["token"]), lambda c: _passes(c) & (c["score"] <= F.element_at(limit, c["band"] + 1)))
-            return good & ~F.exists("secrets", lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"]))
-
+        random = lambda m: let(battery(m["token"]), lambda c: _passes(c) & (c["score"] <= F.element_at(limit, c["band"] + 1)))
         span = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("turn"), m["stop"].alias("stop"), F.lit("random").alias("kind"))
         more = F.transform(F.filter(F.coalesce(_tokens(whole), F.array().cast(MATCHES)), random), span)
-        out = out.withColumn("secrets", F.concat("secrets", more))
-    return out.withColumn("secrets", F.array_sort("secrets"))
+        out = out.withColumn("secrets", let(F.struct(F.col("secrets").alias("base"), more.alias("more")), lambda s: F.when(F.size(s["more"]) > 0, _apart(F.array_sort(F.concat(s["base"], s["more"])))).otherwise(F.array_sort(s["base"]))))
+    else:
+        out = out.withColumn("secrets", F.array_sort("secrets"))
+    return out
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted `spans` without those of the battery that overlap another kind's."""
+    base = lambda s: s["turn"] < len(KINDS)
+
+    def kept(all_: Column) -> Column:
+        stops = _before(F.transform(all_, lambda s: F.when(base(s), s["stop"]).otherwise(0)), larger)
+        # from the end: the next start of another kind is nearer the larger its distance to the largest number is
+        starts = F.reverse(_before(F.reverse(F.transform(all_, lambda s: F.when(base(s), F.lit(2**31 - 1) - s["start"]).otherwise(0))), larger))
+        sides = F.zip_with(stops, starts, lambda a, b: F.struct(a.alias("stop"), (F.lit(2**31 - 1) - b).alias("start")))
+        marked = F.zip_with(all_, sides, lambda s, o: F.struct(s.alias("span"), (base(s) | ((o["stop"] <= s["start"]) & (o["start"] >= s["stop"]))).alias("stays")))
+        return F.transform(F.filter(marked, lambda m: m["stays"]), lambda m: m["span"])
+
+    return let(spans, kept)
+
+
+def _cut_out(chunks: Column, start: Column, stop: Column) -> Column:
+    """Code points from `start` up to `stop` of a text cut into chunks; only the chunks that it touches are read."""
+    at = lambda n: F.coalesce(F.get(chunks, n), F.lit(""))
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(stop / CHUNK).cast("int")
+    inside = F.substring(at(first), start % CHUNK + 1, stop - start)
+    across = F.concat(F.substring(at(first), start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(at(last), F.lit(1), stop % CHUNK))
+    return F.when(first == last, inside).otherwise(across)
+
+
+def _redacted(text: Column, secrets: Column, mark: str) -> Column:
+    def rebuilt(c: Column) -> Column:
+        before = _before(F.transform(c["secrets"], lambda s: s["stop"]), larger)
+        pieces = F.zip_with(before, c["secrets"], lambda done, s: F.struct(done.alias("done"), s["start"].alias("start")))
+        kept = F.transform(F.filter(pieces, lambda p: p["start"] >= p["done"]), lambda p: _cut_out(c["chunks"], p["done"], p["start"]))
+        return F.array_join(F.concat(kept, F.array(_cut_out(c["chunks"], F.array_max(F.transform(c["secrets"], lambda s: s["stop"])), F.length(text)))), mark)
+
+    return let(F.struct(secrets.alias("secrets"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks")), rebuilt)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every secret in `text` replaced by `mark`; overlapping spans become one. Null texts stay null.
 
-    n_chars, where it is a column, is counted again for texts that change.
+    n_chars, where it is a column, is counted again for texts that change. A column named secrets is kept as it is.
     """
-    columns = docs.columns
-    found = find_secrets(docs, text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("secrets", zero, step)
-    tail = F.substring(F.col(text), done["at"] + 1, F.length(F.col(text)))
+    found = find_secrets(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text")
     changed = F.size("secrets") > 0
-    out = found.withColumn(text, F.when(changed, F.concat(done["out"], tail)).otherwise(F.col(text)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(columns)
+    out = found.select("row", F.when(changed, _redacted(F.col("text"), F.col("secrets"), mark)).otherwise(F.col("text")).alias("text"), changed.alias("changed"))
+    value = lambda c: F.col("text") if c == text else F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col(f"row.`{c}`")) if c == "n_chars" else F.col(f"row.`{c}`")
+    return out.select([value(c).alias(c) for c in docs.columns])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
