@@ -8,7 +8,8 @@ is a size-partitioned MinHash containment index over documents, queried by items
 2. Domains are partitioned by size. A partition's largest size turns the containment threshold of an item into a Jaccard
    threshold, and with that the number of MinHash rows in a band; MinHash bands that agree give candidates.
 3. Where even bands of one row could miss more than MISS of the pairs (domains far larger than the item), candidates
-   are all documents that share one of as many of the item's shingles as a contained item cannot all lack.
+   are all documents that share one of as many of the item's shingles as a contained item cannot all lack, those that
+   the fewest domains hold, so a passage that many documents share brings no item to all of them.
 4. Each candidate is verified on the exact shingles.
 
 Only DataFrame functions are used.
@@ -68,16 +69,18 @@ def find_contained(docs: DataFrame, items: DataFrame, shingle: int = 5, percent:
 
     `docs`: doc_id, text; `items`: item_id, text. Null texts and texts without words hold no shingle and are in no
     pair, as document or item. Rows that repeat an id are judged by their own texts, and equal results of theirs are one
-    row. Ids may be null. Other columns are ignored; an empty table gives an empty one. The whole text counts.
+    row. Ids may be null. Other columns are ignored; an empty table gives an empty one. The whole text counts. An item of
+    fewer words than a shingle is one shingle, its whole sequence, and so is only in documents of just these words.
     """
     targets = materialise(
         shingles(items.select("item_id", "text", F.monotonically_increasing_id().alias("item")), [F.col("item"), F.col("item_id")], "text", shingle)
         .groupBy("item", "item_id").agg(F.collect_set("shingle").alias("asked")).withColumn("n_item", F.size("asked")).where("n_item > 0"),
         "items",
     )
+    n_items, n_asked = targets.agg(F.count("*"), F.coalesce(F.sum("n_item"), F.lit(0))).first()
     universe = targets.select(F.explode("asked").alias("shingle")).distinct()
     rows = shingles(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), [F.col("row"), F.col("doc_id")], "text", shingle)
-    hits = rows.join(sized_broadcast(universe, universe.count(), 16), "shingle", "left_semi")
+    hits = rows.join(sized_broadcast(universe, n_asked, 40), "shingle", "left_semi")
     size = F.size("held")
     domains = materialise(
         hits.groupBy("row", "doc_id").agg(F.collect_set("shingle").alias("held"))
@@ -85,9 +88,12 @@ def find_contained(docs: DataFrame, items: DataFrame, shingle: int = 5, percent:
         "domains",
     )
 
+    held_by = domains.select(F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = targets.select("item", F.explode("asked").alias("shingle")).join(held_by, "shingle", "left").groupBy("item")
+    ranked = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle"))), lambda x: x["shingle"]).alias("rarest"))
     parts = domains.groupBy("part").agg(F.max(size).alias("largest"))
     least = F.ceil(F.col("n_item") * percent / 100)  # of a domain that holds the item
-    asked = targets.withColumn("sketch", minhash(F.col("asked"))).withColumn("part", F.explode(F.sequence(part_of(least), F.lit(LAST_PART))))
+    asked = targets.join(ranked, "item").withColumn("sketch", minhash(F.col("asked"))).withColumn("part", F.explode(F.sequence(part_of(least), F.lit(LAST_PART))))
     asked = asked.join(F.broadcast(parts), "part")
     t = percent / 100
     jaccard = t * F.col("n_item") / (F.col("n_item") + F.col("largest") - t * F.col("n_item"))
@@ -98,19 +104,19 @@ def find_contained(docs: DataFrame, items: DataFrame, shingle: int = 5, percent:
     asked = asked.withColumn("plan", plan)
     spare = (F.col("n_item") * (100 - percent) / 100).cast("int") + 1  # of so many shingles a contained item has one
     every = lambda values, part: F.transform(values, lambda x: F.xxhash64(part, F.lit(0), x))
-    keys = F.when(F.col("plan") == 0, every(F.slice(F.array_sort("asked"), 1, spare), F.col("part")))
+    keys = F.when(F.col("plan") == 0, every(F.slice("rarest", 1, spare), F.col("part")))
     for r in BAND_ROWS:
         keys = keys.when(F.col("plan") == r, band_keys(F.col("part"), "sketch", r))
-    asked = asked.select("item", "part", "plan", F.explode(keys).alias("key"))
+    asked = materialise(asked.select("item", "part", "plan", F.explode(keys).alias("key")), "asked")
     used = asked.select("part", "plan").distinct().groupBy("part").agg(F.collect_set("plan").alias("plans"))
     offered = domains.join(F.broadcast(used), "part")
     pick = lambda r, made: F.when(F.array_contains("plans", r), made).otherwise(F.array().cast("array<bigint>"))
     keys = F.concat(pick(0, every(F.col("held"), F.col("part"))), *[pick(r, band_keys(F.col("part"), "sketch", r)) for r in BAND_ROWS])
     offered = offered.select("row", F.explode(keys).alias("key"))
-    candidates = offered.join(sized_broadcast(asked.select("item", "key"), targets.count(), 64 * HASHES), "key").select("row", "item").distinct()
+    candidates = offered.join(sized_broadcast(asked.select("item", "key"), asked.count(), 40), "key").select("row", "item").distinct()
 
     shared = F.size(F.array_intersect("held", "asked"))
-    small = sized_broadcast(targets, targets.count(), 4096)
+    small = sized_broadcast(targets, 8 * n_items + n_asked, 8)
     found = candidates.join(domains.select("row", "doc_id", "held"), "row").join(small, "item").withColumn("n_shared", shared)
     return found.where(100 * F.col("n_shared") >= percent * F.col("n_item")).select("doc_id", "item_id", "n_item", "n_shared").distinct()
 
