@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import table
 from .textkit import U, Words
 
-#: Labelled rows that the machine is trained on, about; hash buckets; features kept; factors; passes over the sample.
+#: Labelled texts that the machine is trained on at most; hash buckets; features kept; factors; passes over the sample.
 TRAIN_ROWS, BUCKETS, FEATURES, FACTORS, EPOCHS = 12_000, 1 << 20, 2048, 4, 12
 
 PREFIXES = (4, 5)
@@ -62,25 +62,35 @@ class Machine:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()
     for b in batches:
-        terms = []
+        first = []
+        for i, key in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            if key not in seen:  # a copy within this task adds nothing
+                seen.add(key), first.append(i)
+        b, terms = b.take(pa.array(first, pa.int64())), []
         for _, words, prefixes, bounds in Words(True, PREFIXES).of(b.column(0)):
             ids = term_ids(words, prefixes)
             terms += [np.unique(ids[a:z]).astype(np.int32) for a, z in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(terms, pa.list_(pa.int32()))], names=["label", "terms"])
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(terms, pa.list_(pa.int32()))], names=["digest", "label", "terms"])
+
+
+def sample(labelled: DataFrame) -> DataFrame:
+    """(digest, label, terms) for TRAIN_ROWS distinct pairs of text and label at most, drawn by a hash; copies are one."""
+    labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "label").withColumn("digest", F.xxhash64("text"))
+    drawn = labelled.select("digest", "label").distinct().orderBy(F.xxhash64("digest"), "digest", "label").limit(TRAIN_ROWS)
+    taken = labelled.join(F.broadcast(drawn), ["digest", "label"]).select("text", "digest", "label")
+    return taken.mapInArrow(_terms, "digest long, label int, terms array<int>").dropDuplicates(["digest", "label"])
 
 
 def train(labelled: DataFrame, seed: int = 7) -> Machine:
-    """A machine from `labelled` (text, label 0 or 1). Rows with a null label are left out.
+    """A machine from `labelled` (text, label 0 or 1). Rows with a null label are left out; a null text counts as empty.
 
-    With more than TRAIN_ROWS rows, about so many are taken by a hash of their texts. Without rows of both labels the
-    machine scores every text alike, by the share of label 1 (0.5 without rows).
+    It learns from a `sample`. Without rows of both labels the machine scores every text alike, by the share of label 1
+    (0.5 without rows). Of terms that tell equally much the lower bucket comes first.
     """
     labelled = labelled.dropna(subset=["label"]).select("text", F.col("label").cast("int").alias("label"))
-    rows = labelled.count()
-    share = min(1.0, TRAIN_ROWS / max(1, rows))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = sample.mapInArrow(_terms, "label int, terms array<int>").toArrow()
+    got = sample(labelled).toArrow().sort_by([("digest", "ascending"), ("label", "ascending")])
     y = got["label"].to_numpy().astype(np.float64)
     lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     flat = lists.flatten().to_numpy().astype(np.int64)
@@ -152,13 +162,15 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts and labels of the rows that may be learned from: crc32 of doc_id as text, modulo 5, is not 0."""
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
     labels = labels.where(learn).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = labels.count()
-    taken = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, 2 * TRAIN_ROWS / max(1, rows)) * 1_000_000) + 1)
+    taken = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAIN_ROWS)
     return docs.join(F.broadcast(taken), "doc_id").select("text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with held_out, score and predicted; learns from `labels` (doc_id, toxic) as _labelled says."""
+    """`docs` with held_out, score and predicted; learns from `labels` (doc_id, toxic) as _labelled says.
+
+    Empty tables of labels give a machine without features, empty `docs` an empty table.
+    """
     machine = train(_labelled(docs.select("doc_id", "text"), labels))
     return score_texts(docs, machine).withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)))
 
@@ -169,7 +181,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, with their columns."""
+    """The rows of `docs` that are not predicted toxic, with their columns; null and empty texts are judged as empty ones."""
     machine = train(_labelled(docs.select("doc_id", "text"), labels))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("text"))
     return score_texts(kept, machine).where("predicted = 0").select("doc.*")
