@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import sized_broadcast, table
 from .textkit import CHUNK, column_bytes
 
-#: Texts of each language that the filter is built from, about; slots; look-ups of an n-gram; languages of a mask word.
+#: Distinct texts of each language that the filter is built from, at most; slots; look-ups of an n-gram; languages of a mask word.
 TRAIN_ROWS, SLOTS, PROBES, WORD = 1500, 1 << 20, 3, 64
 
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate, over LEAST rows.
@@ -85,17 +85,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(ids))], names=["lang", "gram"])
 
 
+def drawn(labelled: DataFrame, languages: int) -> DataFrame:
+    """(text, lang) for TRAIN_ROWS distinct texts of each language at most."""
+    labelled = labelled.select("text", "lang", F.xxhash64("text").alias("digest"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("digest"), "digest")
+    kept = labelled.select("lang", "digest").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= TRAIN_ROWS).select("lang", "digest")
+    taken = labelled.join(sized_broadcast(kept, languages * TRAIN_ROWS, 64), ["lang", "digest"])
+    return taken.dropDuplicates(["lang", "digest"]).select("text", "lang")
+
+
 def build(labelled: DataFrame) -> Filter | None:
     """A filter from `labelled` (text, lang; neither null), or None without rows.
 
-    About TRAIN_ROWS rows of each language are taken by a hash of their texts. Every language counts.
+    At most TRAIN_ROWS distinct texts of each language are taken, by a hash. Every language counts.
     """
     rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not rows:
         return None
     languages = sorted(rows, key=lambda x: (-rows[x], x))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, TRAIN_ROWS / rows[lang]) * 1_000_000) + 1)])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    sample = drawn(labelled, len(languages))
     taken = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     least = F.create_map(*[F.lit(x) for name in languages for x in (name, min(LEAST, 1 + taken.get(name, 0) // 20))])
     got = sample.mapInArrow(_counts, "lang string, gram long").groupBy("gram", "lang").count().where(F.col("count") >= least[F.col("lang")]).toArrow()
@@ -122,7 +130,8 @@ def identify(docs: DataFrame, model: Filter | None, text: str = "text") -> DataF
     """`docs` with lang_pred and score (the share of the best language among all, 0 to 1).
 
     `und` with score 0 where the text is null or has no letter, or without a model. Where no n-gram is known, or at a
-    tie, the language with more learned rows comes first. Columns with those names are replaced; rows and the others stay.
+    tie, the language with more learned rows comes first (of as many, the lesser name). Columns with those names are
+    replaced; rows and the others stay. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
