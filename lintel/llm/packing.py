@@ -1,16 +1,17 @@
 """Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm.
 
 Documents longer than a sequence are cut into full sequences and a shorter first piece. Pieces are dealt at random to
-shards of about SHARD_ITEMS. Each shard is packed on several islands at once: an island breeds packings, where crossover
-injects well-filled bins of one parent whole into another, removes bins that hold duplicates of the injected pieces, and
-puts the displaced pieces back by best fit. Between epochs each island's best packing moves to the next island. The best
-packing of a shard stands, except that the pieces of its loosely filled bins go on to a later level with fewer shards,
-until one shard is left; so the loss of cutting into shards is made good.
+shards of about SHARD_ITEMS. Each shard is packed on several islands at once. An island's first packings are best fits of
+the pieces in random orders; then it breeds: crossover injects well-filled bins of one parent whole into another, removes
+bins that hold duplicates of the injected pieces, lets displaced pieces replace shorter ones of the bins that stay, and
+puts the rest back by best fit, the longest first. Between epochs an island's best packings move to the next island. An
+epoch ends early only where a packing is proven best: as few bins as the pieces' total length asks for. The best packing
+of a shard stands, except that the pieces of its loosely filled bins go on to a later level with fewer shards, until one
+shard is left; so the loss of cutting into shards is made good.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from .common import materialise, table
 #: Tokens of a sequence; the token after each document.
 CAPACITY, END_OF_DOCUMENT = 2048, 0
 
-#: Pieces of a shard; islands; epochs; packings on an island; children of an epoch; a bin is loose below this fill.
-SHARD_ITEMS, ISLANDS, EPOCHS, PACKINGS, CHILDREN, LOOSE = 3000, 2, 2, 3, 6, 0.98
+#: Pieces of a shard; islands; epochs; packings on an island; children of an epoch; packings that move to the next
+#: island; a bin is loose below this fill.
+SHARD_ITEMS, ISLANDS, EPOCHS, PACKINGS, CHILDREN, ELITE, LOOSE = 3000, 2, 2, 6, 24, 2, 0.98
 
 
 def public_tokenizer(name: str) -> str:
@@ -35,7 +37,10 @@ def public_tokenizer(name: str) -> str:
 
 
 def _tokenisers(vocabulary: str, ranks: str):
-    """(fast, exact): the ranks file gives the same ids as the vocabulary, several times as fast, for ordinary text."""
+    """(fast, exact, marks): the ranks file gives the same ids as the vocabulary, several times as fast, for ordinary text.
+
+    A text with one of the marks, the vocabulary's added tokens, is not ordinary.
+    """
     import base64
 
     import public_tokenizers
@@ -46,8 +51,7 @@ def _tokenisers(vocabulary: str, ranks: str):
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
     exact = Tokenizer.from_file(vocabulary)
-    exact.encode_special_tokens = True
-    return fast, exact
+    return fast, exact, [t.content for t in exact.get_added_tokens_decoder().values()]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k") -> DataFrame:
@@ -55,18 +59,19 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "b
 
     A document is its text's token ids and END_OF_DOCUMENT; a null text counts as empty. Only documents longer than
     `capacity` are cut: all pieces but the first have that length. Texts with characters above U+2FFF, where Unicode
-    versions may class letters differently, take the slower of the two tokenisers.
+    versions may class letters differently, and texts with an added token of the vocabulary take the slower of the two
+    tokenisers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, exact = _tokenisers(public_tokenizer(f"{vocabulary}.json"), public_tokenizer(f"{vocabulary}.tiktoken"))
+        fast, exact, marks = _tokenisers(public_tokenizer(f"{vocabulary}.json"), public_tokenizer(f"{vocabulary}.tiktoken"))
         for b in batches:
             ids_of, rows = b.column(0).to_pylist(), b.column(1)
             for at in range(0, b.num_rows, 256):
                 doc, piece, start, length, ids = [], [], [], [], []
                 for doc_id, text in zip(ids_of[at : at + 256], rows.slice(at, 256).to_pylist()):
                     text = text or ""
-                    ordinary = text.isascii() or max(text) < "　"
+                    ordinary = (text.isascii() or max(text) < "　") and not any(m in text for m in marks)
                     x = np.array((fast.encode_ordinary(text) if ordinary else exact.encode(text, add_special_tokens=False).ids) + [END_OF_DOCUMENT], dtype="<u4")
                     first = len(x) if len(x) <= capacity else len(x) % capacity or capacity
                     cuts = [0, *range(first, len(x) + 1, capacity)]
@@ -83,85 +88,120 @@ class Packing:
 
     def __init__(self, lengths: list[int], capacity: int, bins: list[list[int]]):
         self.lengths, self.capacity, self.bins = lengths, capacity, bins
-        self.fills = [sum(lengths[i] for i in b) for b in bins]
+        self.fills = [sum([lengths[i] for i in b]) for b in bins]
 
     def fitness(self) -> float:
         """Mean squared fill: fewer bins, and of as many, unevenly filled ones, are better."""
-        return sum((f / self.capacity) ** 2 for f in self.fills) / max(1, len(self.fills))
+        return sum([f * f for f in self.fills]) / self.capacity**2 / max(1, len(self.fills))
+
+    def rank(self) -> tuple[int, float]:
+        return len(self.bins), -self.fitness()
 
     def best_fit(self, pieces: list[int]) -> None:
-        """Adds pieces, the longest first, each to the fullest bin that has room."""
-        room = sorted((self.capacity - f, i) for i, f in enumerate(self.fills) if f < self.capacity)
-        for p in sorted(pieces, key=lambda i: -self.lengths[i]):
-            n = self.lengths[p]
-            at = bisect_left(room, (n, -1))
-            if at < len(room):
-                left, i = room.pop(at)
+        """Adds pieces in their order, each to the fullest bin that has room."""
+        bins, fills, lengths = self.bins, self.fills, self.lengths
+        by_room, rooms = [[] for _ in range(self.capacity + 1)], 0  # bit r of rooms: some bin has room r
+        for i, f in enumerate(fills):
+            by_room[self.capacity - f].append(i)
+            rooms |= 1 << (self.capacity - f)
+        for p in pieces:
+            n = lengths[p]
+            if fit := rooms >> n:
+                left = n + (fit & -fit).bit_length() - 1
+                i = by_room[left].pop()
+                if not by_room[left]:
+                    rooms ^= 1 << left
+                bins[i].append(p)
+                fills[i] += n
             else:
-                left, i = self.capacity, len(self.bins)
-                self.bins.append([]), self.fills.append(0)
-            self.bins[i].append(p)
-            self.fills[i] += n
-            if left > n:
-                insort(room, (left - n, i))
+                left, i = self.capacity, len(bins)
+                bins.append([p]), fills.append(n)
+            by_room[left - n].append(i)
+            rooms |= 1 << (left - n)
+
+    def replace(self, pieces: list[int]) -> list[int]:
+        """Lets pieces take the places of shorter ones where they fill a bin better; gives what is left, shorter in sum."""
+        by_length, some = [[] for _ in range(self.capacity + 1)], 0
+        for p in pieces:
+            by_length[self.lengths[p]].append(p)
+            some |= 1 << self.lengths[p]
+        for i, b in enumerate(self.bins):
+            for j, p in enumerate(b):
+                room, n = self.capacity - self.fills[i], self.lengths[p]
+                if not room:
+                    break
+                longest = (some & ((1 << (n + room + 1)) - 1)).bit_length() - 1
+                if longest > n:
+                    b[j] = by_length[longest].pop()
+                    if not by_length[longest]:
+                        some ^= 1 << longest
+                    by_length[n].append(p)
+                    some |= 1 << n
+                    self.fills[i] += longest - n
+        return [p for same in reversed(by_length) for p in same]
 
 
 def crossover(mother: Packing, father: Packing, rng: np.random.Generator) -> Packing:
     """A child: a random half of the father's well-filled bins, what of the mother's does not clash, the rest by best fit."""
-    filled = [i for i, f in enumerate(father.fills) if f >= LOOSE * father.capacity]
-    injected = [father.bins[i] for i in filled if rng.random() < 0.5]
-    taken = {p for b in injected for p in b}
+    half, some = rng.random(len(father.bins)) < 0.5, rng.random(len(mother.bins)) < 0.3
+    injected = [b for b, f, x in zip(father.bins, father.fills, half) if x and f >= LOOSE * father.capacity]
+    taken = set().union(*injected)
     kept, displaced = [], []
-    for b, fill in zip(mother.bins, mother.fills):
-        if taken.isdisjoint(b) and (fill >= LOOSE * mother.capacity or rng.random() < 0.3):
+    for b, fill, x in zip(mother.bins, mother.fills, some):
+        if (fill >= LOOSE * mother.capacity or x) and taken.isdisjoint(b):
             kept.append(b)
         else:
             displaced += [p for p in b if p not in taken]
     child = Packing(mother.lengths, mother.capacity, [list(b) for b in injected + kept])
-    child.best_fit(displaced)
+    child.best_fit(child.replace(displaced))
     return child
 
 
-def evolve(lengths: list[int], capacity: int, start: list[list[list[int]]], seed: int) -> list[list[int]]:
-    """Bins of the best packing after an epoch on one island."""
+def evolve(lengths: list[int], capacity: int, start: list[list[list[int]]], seed: int) -> tuple[list[Packing], int]:
+    """(packings, best first; crossovers) after an epoch on one island that begins with the packings `start`."""
     rng = np.random.default_rng(seed)
-    herd = [Packing(lengths, capacity, [list(b) for b in bins]) for bins in start]
-    least = -(-sum(lengths) // capacity)
-    while len(herd) < PACKINGS:
-        new = Packing(lengths, capacity, [])
-        order = rng.permutation(len(lengths)).tolist()
-        part = 0 if not herd else int(len(order) * rng.uniform(0.1, 0.6))
-        new.best_fit(order[part:])
-        new.best_fit(order[:part])
-        herd.append(new)
-    for _ in range(CHILDREN):
-        herd.sort(key=lambda p: (len(p.bins), -p.fitness()))
-        if len(herd[0].bins) == least:
-            break
+    herd = [Packing(lengths, capacity, [list(b) for b in bins]) for bins in start[:PACKINGS]]
+    least, children = -(-sum(lengths) // capacity), 0
+    while len(herd) < PACKINGS and not any(len(p.bins) == least for p in herd):
+        herd.append(Packing(lengths, capacity, []))
+        herd[-1].best_fit(rng.permutation(len(lengths)).tolist())
+    herd.sort(key=Packing.rank)
+    while len(herd) > 1 and children < CHILDREN and len(herd[0].bins) > least:
         pick = rng.permutation(len(herd))[:2]
-        herd[-1] = crossover(herd[pick[0]], herd[pick[-1]], rng)
-    return min(herd, key=lambda p: (len(p.bins), -p.fitness())).bins
+        herd[-1] = crossover(herd[pick[0]], herd[pick[1]], rng)
+        herd.sort(key=Packing.rank)
+        children += 1
+    return herd, children
 
 
 def _epoch(capacity: int, epoch: int):
+    """An epoch of one island, whose rows are its pieces, once for each packing that it begins with (origin >= 0)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.drop_duplicates("item").sort_values("item")
         place = {x: i for i, x in enumerate(items["item"].tolist())}
         starts = []
-        for _, elite in pdf[pdf["bin"] >= 0].groupby("origin"):
-            starts.append([[place[x] for x in g] for g in elite.groupby("bin")["item"].apply(list)])
+        for _, elite in pdf[pdf["origin"] >= 0].sort_values("item").groupby(["origin", "elite"]):
+            bins = {}
+            for x, b in zip(elite["item"].tolist(), elite["bin"].tolist()):
+                bins.setdefault(b, []).append(place[x])
+            starts.append(list(bins.values()))
         shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
         lengths = items["length"].tolist()
-        bins = evolve(lengths, capacity, starts, seed=(epoch * 1_000_003 + shard) * 64 + island)
-        number, fill = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        for i, b in enumerate(bins):
-            number[b], fill[b] = i, sum(lengths[p] for p in b)
-        return pd.DataFrame({"shard": shard, "island": island, "item": items["item"].to_numpy(), "length": lengths, "origin": island, "bin": number, "fill": fill, "bins": len(bins)})
+        herd, children = evolve(lengths, capacity, starts, seed=(epoch * 1_000_003 + shard) * 64 + island)
+        out = []
+        for elite, packing in enumerate(herd[:ELITE]):
+            number, fill = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+            for i, (b, f) in enumerate(zip(packing.bins, packing.fills)):
+                number[b], fill[b] = i, f
+            one = {"shard": shard, "island": island, "item": items["item"].to_numpy(), "length": lengths, "origin": island, "elite": elite}
+            out.append(pd.DataFrame(one | {"bin": number, "fill": fill, "bins": len(packing.bins), "crossovers": children + int(pdf["crossovers"].max())}))
+        return pd.concat(out)
 
     return run
 
 
-SHARDED = "shard long, island int, item long, length long, origin int, bin long, fill long, bins long"
+SHARDED = "shard long, island int, item long, length long, origin int, elite int, bin long, fill long, bins long, crossovers long"
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -177,12 +217,12 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         shards = max(1, -(-rows // SHARD_ITEMS))
         dealt = open_.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
         island = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
-        herd = dealt.select("shard", island, "item", "length", F.lit(-1).alias("origin"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("fill"), F.lit(0).cast("long").alias("bins"))
+        herd = dealt.select("shard", island, "item", "length", F.lit(-1).alias("origin"), F.lit(0).alias("elite"), *[F.lit(0).cast("long").alias(x) for x in ("bin", "fill", "bins", "crossovers")])
         for epoch in range(EPOCHS):
             if epoch:  # the elite of each island also goes to the next
                 herd = herd.withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))))
             herd = herd.groupBy("shard", "island").applyInPandas(_epoch(capacity, level * EPOCHS + epoch), SHARDED)
-        herd = materialise(herd, "packed")
+        herd = materialise(herd.where("elite = 0"), f"packed{level}")
         best = herd.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("best")).select("shard", "best.island")
         best = herd.join(best, ["shard", "island"])
         last = shards == 1
@@ -207,8 +247,9 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for each piece of `docs` (doc_id, text).
 
-    Every row is a document of its own, also where doc_id is null or repeated; null and empty texts are one token. Other
-    columns are ignored; an empty table gives an empty one.
+    Every row is a document of its own, also where doc_id is null or repeated; null and empty texts are one token. Of
+    packings that are equally good the first one bred stands. Other columns are ignored, whatever their names; an empty
+    table gives an empty one.
     """
     pieces = token_pieces(docs, capacity, vocabulary).withColumn("ids_crc32", F.crc32("ids"))
     pieces = materialise((pieces if with_ids else pieces.drop("ids")).withColumn("item", F.monotonically_increasing_id()), "pieces")
