@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,46 @@ def test_jaccard_against_brute_force(spark, k, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    common = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
+    signer = jaccard_join.Signer(percent, common)
+    for _ in range(1500):
+        n = int(rng.integers(1, 30) if rng.random() < 0.5 else rng.integers(30, 400))
+        a = np.unique(np.concatenate((rng.integers(0, 2**63, n, dtype=np.uint64), rng.choice(common, n // 3))))
+        gone = int(rng.integers(0, len(a) // 4 + 1))
+        fresh = int(rng.integers(0, len(a) // 4 + 2))
+        b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**63, fresh, dtype=np.uint64))))
+        same = len(np.intersect1d(a, b))
+        if len(b) and not np.array_equal(a, b) and 100 * same >= percent * (len(a) + len(b) - same):
+            assert len(np.intersect1d(signer.of(a), signer.of(b))), (len(a), len(b), same)
+        x, y = jaccard_join.sketch_of(a), jaccard_join.sketch_of(b) if len(b) else b"\0" * 16
+        size = min(len(x), len(y))
+        assert np.bitwise_count(jaccard_join.folded(x, size) ^ jaccard_join.folded(y, size)).sum() <= len(a) + len(b) - 2 * same
+
+
+def test_bands_enumerate_subsets():
+    lows = jaccard_join.bands(80)
+    plans = [jaccard_join.band_plan(i, lows, 80) for i in range(len(lows) - 1) if lows[i] < 10_000]
+    assert all(p.n2 > 2 and len(p.subsets) > p.n2 - p.k2 for p in plans if p) and sum(p is None for p in plans) < 6
+
+
+def test_large_mixed_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 500)
+    test_jaccard_against_brute_force(spark, 5, 80)
+
+
+def test_join_leaves_only_what_its_result_reads(spark):
+    import os
+
+    folder = jaccard_join.Scratch(spark).folder
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    jaccard_join.jaccard_components(docs(spark, [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")]))
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"sizes", "classes", "placed"}
+
+
 def test_secrets_against_brute_force(spark):
     kinds = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16)]
     texts = ["é token = 'abcdefghijkl' x", "secret=token:password=longvalue1234 AKIA" + "Q" * 16, "AKIAQ deadbeefdeadbeef0 cafe", "PASSWORD: short", "apikey=" + "0f" * 20 + "\n" + "0f" * 9]
@@ -81,6 +122,61 @@ def test_secrets_against_brute_force(spark):
     assert clean["text"] == "é [SECRET]' x" and clean["n_chars"] == len(clean["text"])
 
 
+def test_very_many_secrets_in_one_text(spark):
+    n = 30_000
+    text = " ".join(f"{i:020x}é" for i in range(n)) + " password = " + "q" * 300
+    got = secrets.redact(docs(spark, [(1, text), (2, None), (3, "")])).select("doc_id", "text", "n_chars", "score").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: " ".join(["[SECRET]é"] * n) + " [SECRET]", 2: None, 3: ""}
+    assert {r["n_chars"] for r in got if r["doc_id"] == 1} == {n * 10 + 8} and {r["score"] for r in got} == {"clash"}
+
+
+def battery_in_python(t):
+    """(band, score, runs_z, serial_z) of a token, from the definitions."""
+    letters = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else 32 if re.fullmatch("[A-Z2-7]+", t) else 36 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t) else 64
+    t = t.lower() if letters < 64 else t
+    n, v = len(t), [secrets.ALPHABET.index(c) + 1 for c in t]
+    chi = sum(t.count(c) ** 2 for c in set(t)) * letters / n - n
+    mean, above = sum(v) / n, sum(x > letters / 2 for x in v)
+    runs = 1 + sum((a > letters / 2) != (b > letters / 2) for a, b in zip(v, v[1:]))
+    expected = 2 * above * (n - above) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    variance = sum((x - mean) ** 2 for x in v)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:]))
+    band = min(max(n.bit_length() - 5, 0), secrets.BANDS - 1)
+    return band, (chi - (letters - 1)) / (2 * (letters - 1)) ** 0.5, (runs - expected) / spread**0.5 if spread > 0 else 99, serial / variance * n**0.5 if variance > 0 else 99
+
+
+def test_battery_and_cut_against_brute_force(spark):
+    import random
+    from statistics import mean, stdev
+
+    rng, scores = random.Random(9), {}
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", secrets.ALPHABET]
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 31, 32, 64, 200, 3000)] + ["ab1" * 20, "a1" + "b" * 40, "x" * 30 + "7"]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secrets.battery(F.col("token")).alias("b")).select("token", "b.*")
+    for r in df.collect():
+        assert tuple(r)[1:] == pytest.approx(battery_in_python(r["token"]), rel=1e-6, abs=1e-6), r["token"]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice((18, 20, 24, 40)))) for _ in range(300)]
+    tokens = [t for t in tokens if re.search("[0-9]", t) and re.search("[A-Za-z]", t) and len(t) >= 20]
+    got = secrets.thresholds(docs(spark, [(i, f"see {t} .") for i, t in enumerate(words + tokens)]))
+    for t in words:
+        b, score, *_ = battery_in_python(t)
+        scores.setdefault(b, []).append(score)
+    null = {b: (mean(x), stdev(x)) for b, x in scores.items() if len(x) >= 30}
+    null = [null.get(b, secrets.WORD_SCORE) for b in range(secrets.BANDS)]
+    normal = lambda z: 1 / (1 + np.exp(min(600.0, -(1.5976 * z + 0.07056 * z**3))))
+    ps = []
+    for t in tokens:
+        b, score, runs, serial = battery_in_python(t)
+        ok = score <= secrets.REJECT and abs(runs) <= secrets.REJECT and abs(serial) <= secrets.REJECT
+        ps.append(normal((score - null[b][0]) / null[b][1]) if ok else 1.0)
+    step = secrets.MOST / secrets.BINS
+    bins = [min(secrets.BINS - 1, int(-np.log10(p) / step)) if p > 0 else secrets.BINS - 1 for p in ps]
+    cuts = [10 ** (-b * step) for b in set(bins) if b and 10 ** (-b * step) <= secrets.FALSE_SHARE * sum(x >= b for x in bins) / len(bins)]
+    z = np.array([(limit - m) / s for limit, (m, s) in zip(got, null)])
+    assert cuts and np.allclose([normal(x) for x in z], max(cuts), rtol=1e-4)
+
+
 def test_random_tokens_are_found(spark):
     import random
 
@@ -103,11 +199,61 @@ def test_packing_is_whole(spark):
 
 
 def test_the_two_tokenisers_agree(spark):
-    fast, exact = packing._tokenisers(packing.public_tokenizer("byte_bpe_50k.json"), packing.public_tokenizer("byte_bpe_50k.tiktoken"))
+    fast, exact, marks = packing._tokenisers(packing.public_tokenizer("byte_bpe_50k.json"), packing.public_tokenizer("byte_bpe_50k.tiktoken"))
+    assert marks
     for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").limit(300).collect():
         assert fast.encode_ordinary(r[0]) == exact.encode(r[0], add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(packing.public_tokenizer("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext"), (4, "漢字 <|endoftext|>"), (5, "été"), (6, "one"), (6, "one")]
+    got = packing.pack_documents(docs(spark, rows), with_ids=True).collect()
+    want = sorted(b"".join(x.to_bytes(4, "little") for x in [*exact.encode(t, add_special_tokens=False).ids, 0]) for _, t in rows)
+    assert sorted(bytes(r["ids"]) for r in got) == want
+
+
+def triplets(n, seed):
+    """Lengths of pieces that fill n bins of 1000 with three pieces each."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_the_genetic_algorithm_beats_best_fit_decreasing(spark):
+    lengths = triplets(30, 4)
+    plain = packing.Packing(lengths, 1000, [])
+    plain.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]))
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    got = packing.pack_items(items, 1000).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], lengths[r["item"]]))
+    assert len(got) == len(lengths) == len({r["item"] for r in got}) and 30 <= len(bins) < len(plain.bins)
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 1000
+
+
+def test_crossover_keeps_every_piece_once():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 900, 400).tolist()
+    parents = []
+    for _ in range(2):
+        parents.append(packing.Packing(lengths, 1000, []))
+        parents[-1].best_fit(rng.permutation(400).tolist())
+    child = packing.crossover(*parents, rng)
+    assert sorted(p for b in child.bins for p in b) == list(range(400)) and max(child.fills) <= 1000
+    assert child.fills == [sum(lengths[p] for p in b) for b in child.bins] and len(child.bins) <= max(len(p.bins) for p in parents)
+    _, children = packing.evolve(triplets(20, 1), 1000, [], 3)
+    assert children == packing.CHILDREN  # the bound is not met, so the epoch is not cut short
+
+
 def test_packing_is_near_the_bound(spark):
     got = queries.queries()["op1_pack"](spark, FOLDER).agg(F.count_distinct("sequence_id"), F.sum("length")).first()
     assert got[0] <= -(-got[1] // 2048) + 2
@@ -142,6 +288,35 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in got if r["toxic"]) / sum(r["toxic"] for r in got) > 0.8
 
 
+def test_toxicity_learns_pairs(spark):
+    """One insult is toxic with one group, another with another, the other pairs are clean: no sum of weights tells that."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    filler = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows = []
+    for i in range(5000):
+        insult, group = ("grubs", "louts")[i // 2 % 2], ("north", "south")[i // 4 % 2]
+        named = [insult, group] if i % 2 else []
+        rows.append((" ".join([*rng.choice(filler, 8), *named, str(i)]), int(named in (["grubs", "north"], ["louts", "south"]))))
+    machine = toxicity.train(spark.createDataFrame(rows[:4000], "text string, label int"))
+    right = lambda: ((machine.score(pa.array([t for t, _ in rows[4000:]])) >= 0.5) == np.array([y for _, y in rows[4000:]])).mean()
+    assert right() > 0.97
+    machine.factor[:] = 0
+    assert right() < 0.9
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    rows = spark.range(30_000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'one text many times' ELSE 'text ' || id END AS text", "CAST(id % 2 AS INT) AS label", "'en' AS lang")
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 50)
+    got = toxicity.sample(rows).collect()
+    assert len(got) == 50 == len({(r["digest"], r["label"]) for r in got})
+    assert len(toxicity.sample(rows.where("text IS NULL OR text LIKE 'one%'")).collect()) == 4
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 50)
+    assert language_id.drawn(rows.dropna(), 1).count() == 50
+    assert language_id.drawn(rows.where("text LIKE 'one%'"), 1).count() == 1
+
+
 def test_language_held_out(spark):
     got = queries.queries()["op9_language_id"](spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.98
@@ -211,11 +386,14 @@ def test_empty_tables(spark):
 
 
 def test_urls(spark):
-    rules = spark.createDataFrame([("block", "a.com", "/x"), ("allow", "a.com", "/x/y"), ("allow", "a.com", "/x"), (None, "b", "/")], "action string, host string, path string")
+    rules = spark.createDataFrame([("block", "a.com", "/x", None), ("allow", "a.com", "/x/y", 1), ("allow", "a.com", "/x", 1), (None, "b", "/", 1)], "action string, host string, path string, note int")
     urls = [None, "", "nothing", "HTTP://A.com/x?q", "http://b.A.COM/x/y#f", "http://xa.com/x", "http://a.com", "http://" + "s." * 5000 + "a.com/x"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
     assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: ("a.com/x", "block"), 4: ("a.com/x/y", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("a.com/x", "block")}
+    assert url_filter.filter_urls(pages, rules).columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
 def test_revisits(spark):

@@ -77,7 +77,6 @@ def test_stages_and_run_against_brute_force(spark):
         assert not any(len(m.group(g)) >= least for p, g, least in KINDS for m in re.finditer(p, t or "", re.A))
 
     exact = Tokenizer.from_file(packing.public_tokenizer("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     tokens = {i: np.array(exact.encode(t or "", add_special_tokens=False).ids + [packing.END_OF_DOCUMENT], "<u4").tobytes() for i, t in clean.items()}
     assert packed(made["packing"].collect()) == tokens
     assert packed(corpus_pipeline.run(spark, FOLDER).collect()) == tokens
