@@ -49,7 +49,7 @@ SCHEMES, PER_DIFFERENCE, BESIDES = [(2, 1), (3, 1), (4, 1), (4, 2), (5, 2)], 1.6
 SAMPLE_ROWS, COMMON_SHARE, COMMON_MOST = 8_000, 0.001, 200_000
 
 #: Signature rows that a task combines at a time; classes of a bucket that are tried pair by pair; least sketch bits.
-FLUSH, SMALL, SKETCH = 1 << 20, 64, 128
+FLUSH, SMALL, SKETCH = 1 << 20, 256, 128
 
 
 def bands(percent: int, most: int = 2**31) -> np.ndarray:
@@ -323,28 +323,31 @@ def apart_pairs(opened: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     `opened`: centre, class_id, part (the class's component so far), x and y (the sets of centre and class).
     Say D(x) is what a class x and the centre c do not share. Then diff(x, y) = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a
     link of x and y asks for an overlap of at least (|D(x)| + |D(y)| - k) / 2, where k is the most that a link's sizes
-    allow. If both link to c, they are together already; so say y does not, and |D(y)| exceeds its own k. That bounds the
-    overlap from below for each side alone: by |D| - k, and for x by half of |D(x)| plus the difference of sizes' share.
-    Two sets with such an overlap share one of their first elements in any fixed order (a prefix), and from the place of
-    the first shared element enough must follow. Elements that c lacks come first: edits are seldom shared.
+    allow. Say |D(x)| <= |D(y)|. That bounds the overlap from below for each side alone: for y by |D(y)| - k, for x by
+    |D(x)| - k / 2, and where x links to c by half of |D(x)| plus the difference of sizes' share, as y does not link then
+    (else both are together already). Two sets with such an overlap share one of their first elements in any fixed order
+    (a prefix), and from the place of the first shared element enough must follow. Elements that c lacks come first:
+    edits are seldom shared.
     """
     share = F.lit((100 - percent) / (100 + percent))
     sized = opened.withColumns({"n": F.size("x"), "m": F.size("y"), "same": F.size(F.array_intersect("x", "y"))})
     linked = 100 * F.col("same") >= percent * (F.col("n") + F.col("m") - F.col("same"))
     size = F.col("n") + F.col("m") - 2 * F.col("same")
-    half = F.ceil((size + share * (F.col("n") - F.col("m"))) / 2 - 1e-9)
-    alone = F.greatest(F.lit(1), size - F.floor(share * (F.col("m") + F.col("m") * 100 / percent) + 1e-9))
-    apart = sized.withColumns({"linked": linked, "size": size, "short": size - F.greatest(half, alone) + 1, "long": size - alone + 1})
+    k = F.floor(share * (F.col("m") + F.col("m") * 100 / percent) + 1e-9)
+    alone = F.greatest(F.lit(1), size - k)
+    half = F.when(linked, F.ceil((size + share * (F.col("n") - F.col("m"))) / 2 - 1e-9)).otherwise(0)
+    second = ~linked | (size > share * (F.col("n") + F.col("m") * percent / 100) - 1e-9)  # else those it may link with are farther from c
+    apart = sized.withColumns({"linked": linked, "size": size, "second": second, "short": size - F.greatest(half, alone, size - F.floor(k / 2)) + 1, "long": size - alone + 1})
     first = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
-    needed = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))
-    rows = apart.select("centre", "class_id", "part", "linked", "m", "size", "short", "long", F.posexplode(F.slice(first, F.lit(1), needed.cast("int"))).alias("at", "item"))
+    needed = F.when(F.col("second"), F.greatest("short", "long")).otherwise(F.col("short"))
+    rows = apart.select("centre", "class_id", "part", "linked", "second", "m", "size", "short", "long", F.posexplode(F.slice(first, F.lit(1), needed.cast("int"))).alias("at", "item"))
     rows = scratch.keep(rows, "apart")
-    x = rows.where("at < short").select("centre", "item", *[F.col(c).alias(f"x_{c}") for c in ("class_id", "part", "linked", "m", "size", "at")])
-    y = rows.where("not linked").select("centre", "item", *[F.col(c).alias(f"y_{c}") for c in ("class_id", "part", "m", "size", "short", "long", "at")])
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("class_id", "part", "m", "size", "at")]
+    x, y = rows.where("at < short").select("centre", "item", *named("x")), rows.where("second and at < long").select("centre", "item", *named("y"))
     most = F.floor(share * (F.col("x_m") + F.col("y_m")) + 1e-9)
     follow = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     may = (F.col("x_part") != F.col("y_part")) & (2 * follow >= F.col("x_size") + F.col("y_size") - most)
-    sides = F.when(F.col("x_linked"), F.col("y_at") < F.col("y_long")).otherwise((F.col("y_at") < F.col("y_short")) & (F.col("x_class_id") < F.col("y_class_id")))
+    sides = F.struct("x_size", "x_class_id") < F.struct("y_size", "y_class_id")
     met = x.join(y, (x["centre"] == y["centre"]) & (x["item"] == y["item"]) & may & sides)
     return met.select(F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b")).distinct()
 
@@ -435,19 +438,20 @@ def keyed_components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def buckets_of(signatures: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, n, class_id, centre): the classes of each signature that n > 1 have; of signatures with equal classes one stays."""
+    """(sig, n, class_id, centre): the classes of each signature that n > 1 have; of signatures with equal classes one stays.
+
+    The centre is the class that shares most with others: the text that near copies were made from, rather than one of them.
+    """
     at = Window.partitionBy("key")
     rows = signatures.withColumns({"low": F.min("one").over(at), "high": F.max("one").over(at), "last": F.max("kind").over(at)})
-    rows = scratch.keep(rows.where("kind = 2 or low < high or last > 0").select(F.coalesce("sig", "key").alias("sig"), "one", "kind", "low"), "rows")
-    first = rows.where("kind < 2").select("sig", "one", "low")
-    again = rows.where("kind = 2").select("sig", "one").join(first.select("sig", "low").distinct(), "sig").select("sig", "one", "low")
-    ids = classes.select("one", "class_id")
-    members = first.union(again).join(ids, "one").join(ids.select(F.col("one").alias("low"), F.col("class_id").alias("centre")), "low").select("sig", "class_id", "centre")
-    # a text whose digest two classes have counts for both; the least centre stands for one bucket
-    members = scratch.keep(members.groupBy("sig", "class_id").agg(F.min("centre").alias("centre")), "members")
+    rows = rows.where("kind = 2 or low < high or last > 0").select(F.coalesce("sig", "key").alias("sig"), "one")
+    members = scratch.keep(rows.join(classes.select("one", "class_id"), "one").select("sig", "class_id").distinct(), "members")
     tag = lambda seed: F.bit_xor(F.xxhash64("class_id", F.lit(seed)))
     kept = members.groupBy("sig").agg(F.count("*").alias("n"), tag(1).alias("tag"), tag(2).alias("tag2")).where("n > 1").groupBy("n", "tag", "tag2").agg(F.min("sig").alias("sig"))
-    return scratch.keep(members.join(kept.select("sig", "n"), "sig"), "buckets")
+    buckets = scratch.keep(members.join(kept.select("sig", "n"), "sig"), "kept")
+    degree = buckets.groupBy("class_id").agg(F.sum("n").alias("degree"))
+    centre = buckets.join(degree, "class_id").groupBy("sig").agg(F.max(F.struct("degree", "class_id"))["class_id"].alias("centre"))
+    return scratch.keep(buckets.join(centre, "sig"), "buckets")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
