@@ -27,10 +27,7 @@ def an_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def an_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, valid, errors, warnings): a statement is valid if no rule finds an error in it."""
-    queries = run_sql(spark, sf_dir, corpus.query_corpus())
-    found = rules.findings(queries).groupBy("query_id").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
-    joined = queries.select("query_id").join(found, "query_id", "left").na.fill(0, ["errors", "warnings"])
-    return joined.select("query_id", (F.col("errors") == 0).alias("valid"), "errors", "warnings")
+    return rules.validity(run_sql(spark, sf_dir, corpus.query_corpus()))
 
 
 def an_stmt_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +44,7 @@ def an_tcl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def an_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of scripts of sixteen statements each."""
+    """Health of scripts of up to sixteen statements each."""
     judged = an_validity(spark, sf_dir).withColumn("script_id", F.floor(F.col("query_id") / 16))
     return scripts.health(judged)
 
@@ -69,7 +66,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _corpus = corpus.query_corpus().replace("STRING", "VARCHAR")
-_found = rules.findings_sql(_corpus)
+_found = corpus.expected_findings()
 _valid = f"""
 SELECT query_id, count(*) FILTER (severity = 'ERROR') = 0 AS valid, count(*) FILTER (severity = 'ERROR') AS errors,
        count(*) FILTER (severity = 'WARNING') AS warnings
@@ -106,6 +103,8 @@ def oracle_sql() -> dict[str, str]:
             "an_script_flag": f"SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, count(*) AS blocking, 'SCR-MULTI-001' AS code FROM ({_valid}) WHERE NOT valid GROUP BY 1 HAVING count(*) >= 2",
             "an_custom_health": f"SELECT query_id, CAST(CASE WHEN valid THEN 100 ELSE greatest(0, 100 - 25 * errors) END AS BIGINT) AS score FROM ({_valid})",
             "an_tcl": scripts.TRANSACTION_SQL.format(corpus=corpus.script_corpus()),
-            "an_health": f"SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, CAST(floor(avg(CASE WHEN errors > 0 THEN 25 WHEN warnings > 0 THEN 78 ELSE 100 END) + 0.5) AS BIGINT) AS score FROM ({_valid}) GROUP BY 1",
+            "an_health": f"""SELECT script_id, CAST(greatest(0, least(100, floor(base + 0.5) - CASE WHEN invalid >= 2 THEN 7 ELSE 0 END)) AS BIGINT) AS score FROM (
+                SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, count(*) FILTER (NOT valid) AS invalid,
+                       avg(CASE WHEN NOT valid THEN 25 WHEN errors > 0 THEN 35 WHEN warnings > 0 THEN 78 ELSE 100 END) AS base FROM ({_valid}) GROUP BY 1)""",
         }
     )

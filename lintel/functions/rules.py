@@ -1,4 +1,4 @@
-"""Content rules on statements: each a pattern on the raw text, or on the text without literals and comments."""
+"""Rules on statements: each a pattern on the raw text, or on the text without literals and comments."""
 
 from __future__ import annotations
 
@@ -8,27 +8,80 @@ from pyspark.sql import functions as F
 #: Literals, line comments and block comments, with what stands in for them, in this order.
 STRIP = [(r"N?'[^']*'", "''"), (r"--[^\n]*", " "), (r"(?s)/\*.*?\*/", " ")]
 
-#: Code, severity, whether on the stripped text, pattern.
-RULES = [
-    ("SE007", "ERROR", False, r"(?i)'\s*OR\s*'[^']*'\s*=\s*'|'\s*;\s*(DROP|DELETE|TRUNCATE|ALTER)|'\s*--"),
-    ("SE-LIKE-ALL", "WARNING", False, r"(?i)LIKE\s*'[%_\s]+'"),
-    ("SE-NULL-EQUALS", "ERROR", True, r"(?i)(=|!=|<>)\s*NULL\b"),
-    ("SE-DIV-ZERO", "ERROR", True, r"/\s*0([^0-9.]|$)"),
-    ("SE-EMPTY-STR", "WARNING", False, r"(?i)(=|LIKE)\s*''"),
-    ("SE-CARTESIAN", "WARNING", True, r"(?i)FROM\s+\w+\s*,\s*\w+"),
-    ("SE-TAUTOLOGY", "WARNING", True, r"(?i)WHERE\s+(1\s*=\s*1|TRUE)\b"),
-    ("SE-IMPOSSIBLE", "WARNING", True, r"(?i)WHERE\s+(1\s*=\s*0|0\s*=\s*1|FALSE)\b"),
-    ("SE-DANGER-SCOPE", "ERROR", True, r"(?i)(DELETE|UPDATE).*WHERE\s+1\s*=\s*1"),
-    ("MY001", "INFO", False, r"(?i)ON\s+DUPLICATE\s+KEY"),
-    ("PG001", "INFO", False, r"(?i)\bILIKE\b"),
-    ("LT005", "WARNING", False, r"(?i)\bOVER\s*\("),
-    ("SS002", "WARNING", False, r"(?i)\bNOLOCK\b"),
-    ("ORA004", "INFO", False, r"(?i)\bNVL\s*\("),
-    ("ORA005", "INFO", False, r"(?i)\bDECODE\s*\("),
+#: Dialects whose statements the rules judge.
+DIALECTS = ["mysql", "postgresql", "sqlite", "sqlserver", "oracle"]
+
+#: Code, severity, whether on the stripped text, pattern, pattern on the raw text that lifts the finding.
+GENERIC = [
+    ("SE007", "ERROR", False, r"(?i)'\s*OR\s+'[^']*'\s*=\s*'[^']*'|'\s*;\s*(DROP|DELETE|TRUNCATE|ALTER)\b|'\s*--", None),
+    ("SE-LIKE-ALL", "WARNING", False, r"(?i)LIKE\s+'[%_\s]+'", None),
+    ("SE-LIKE-SHORT", "WARNING", False, r"(?i)LIKE\s+'%(.{1,2})%?'\s*(?:AND|OR|$|\))", r"(?i)LIKE\s+'[%_\s]+'"),
+    ("SE-NULL-EQUALS", "WARNING", True, r"(?i)(?:=|!=|<>)\s*NULL\b", None),
+    ("SE-DIV-ZERO", "WARNING", True, r"/\s*0(?![\d.])", None),
+    ("SE-EMPTY-STR", "WARNING", False, r"(?i)(?:=|LIKE)\s*''", None),
+    ("SE-EMPTY-IN", "WARNING", True, r"(?i)\bIN\s*\(\s*\)", None),
+    ("SE-CARTESIAN", "WARNING", True, r"(?i)FROM\s+\w+\s*,\s*\w+", r"\w+\.\w+\s*=\s*\w+\.\w+"),
+    ("SE-TAUTOLOGY", "WARNING", True, r"(?i)\bWHERE\s+1\s*=\s*1\b|\bWHERE\s+TRUE\b", None),
+    ("SE-IMPOSSIBLE", "WARNING", True, r"(?i)\bWHERE\s+1\s*=\s*0\b|\bWHERE\s+0\s*=\s*1\b|\bWHERE\s+FALSE\b", None),
+    ("SE-SELF-CMP", "WARNING", True, r"(?is)\bWHERE\b.*\b(\w{2,})\s*=\s*\1\b", None),
+    ("SE-DANGER-SCOPE", "WARNING", True, r"(?is)\b(DELETE|UPDATE)\b.*\bWHERE\s+1\s*=\s*1\b", None),
+    ("SE-INSERT-NO-COLS", "WARNING", False, r"(?i)\bINSERT\s+INTO\s+\w+\s+VALUES\b", None),
+    ("SE004", "WARNING", True, r"(?is)^\s*SELECT\s+(DISTINCT\s+)?\*.*\bJOIN\b", None),
+    ("SE010", "WARNING", True, r"(?is)^\s*SELECT\b.*\bLIMIT\s+\d+", r"(?i)\bORDER\s+BY\b"),
+    ("SEM-001", "WARNING", True, r"(?i)^\s*DELETE\b", r"(?i)\bWHERE\b"),
+    ("SEM-002", "WARNING", True, r"(?i)^\s*UPDATE\b", r"(?i)\bWHERE\b"),
 ]
 
-#: A rule above does not count where this is found as well.
-UNLESS = {"SE-CARTESIAN": r"\w+\.\w+\s*=\s*\w+\.\w+"}
+#: Injection patterns that are looked for where only block comments are taken out.
+STRUCTURAL = r"(?i)\b(OR|AND)\s+\d+\s*=\s*\d+|\bUNION\s+(ALL\s+)?SELECT\b"
+
+#: A pair of numbers or literals that contradict each other.
+BETWEEN = r"(?i)BETWEEN\s+(\d+)\s+AND\s+(\d+)"
+CONTRADICTS = r"(?is)\b(\w+)\s*=\s*'([^']*)'[^;]*?\bAND\b[^;]*?\b\1\s*=\s*'([^']*)'"
+RANGE = r"(?is)\b(\w+)\s*>\s*(\d+)[^;]*?\bAND\b[^;]*?\b\1\s*<\s*(\d+)"
+
+#: By dialect, as above, all on the raw text.
+BY_DIALECT = {
+    "mysql": [
+        ("MY001", "WARNING", r"(?i)\bON\s+DUPLICATE\s+KEY\b", None),
+        ("MY003", "WARNING", r"(?is)^\s*SELECT\b.*\bLIMIT\s+\d+", r"(?i)\bORDER\s+BY\b"),
+        ("MY004", "WARNING", r"(?i)\bPASSWORD\s*\(", None),
+        ("MY004", "WARNING", r"(?i)\bENCRYPT\s*\(", None),
+        ("MY005", "INFO", r"(?i)\bJSON_TABLE\s*\(", None),
+    ],
+    "postgresql": [
+        ("PG001", "INFO", r"(?i)\bILIKE\b", None),
+        ("PG003", "INFO", r"(?i)\b(SERIAL|BIGSERIAL|SMALLSERIAL)\b", None),
+        ("PG006", "ERROR", r"(?i)\bWITH\s+RECURSIVE\b", r"(?i)\bUNION\s+ALL\b"),
+    ],
+    "sqlite": [
+        ("LT001", "ERROR", r"(?i)\bRIGHT\s+(OUTER\s+)?JOIN\b", None),
+        ("LT001", "ERROR", r"(?i)\bFULL\s+(OUTER\s+)?JOIN\b", None),
+        ("LT002", "ERROR", r"(?is)\bALTER\s+TABLE\b.+?\bDROP\s+COLUMN\b", None),
+        ("LT002", "ERROR", r"(?is)\bALTER\s+TABLE\b.+?\bRENAME\s+COLUMN\b", None),
+        ("LT003", "WARNING", r"(?i)\bFOREIGN\s+KEY\b|\bREFERENCES\b", r"(?i)\bPRAGMA\s+foreign_keys\s*=\s*ON\b"),
+        ("LT004", "INFO", r"(?i)\b(DATETIME|TIMESTAMP|DATE|TIME)\b", None),
+        ("LT005", "INFO", r"(?i)\bOVER\s*\(", None),
+        ("LT006", "ERROR", r"(?i)\bWITHOUT\s+ROWID\b", r"(?i)\bPRIMARY\s+KEY\b"),
+    ],
+    "sqlserver": [
+        ("SS001", "WARNING", r"(?i)^\s*SELECT\s+TOP\b", r"(?i)\bORDER\s+BY\b"),
+        ("SS002", "WARNING", r"(?i)\bNOLOCK\b", None),
+        ("SS003", "INFO", r"(?is)\bSELECT\b.+?\bINTO\s+#\w+", None),
+        ("SS004", "WARNING", r"(?i)\bCURSOR\b", None),
+        ("SS006", "INFO", r"(?i)^\s*MERGE\b", r"(?i)\bOUTPUT\b"),
+        ("SS007", "WARNING", r"(?i)@@IDENTITY\b", None),
+        ("SS008", "WARNING", r"(?i)\b(text|ntext|image)\b", None),
+    ],
+    "oracle": [
+        ("ORA002", "WARNING", r"(?is)\bWHERE\b.+?\bROWNUM\s*>\s*\d+", None),
+        ("ORA003", "WARNING", r"(?is)^\s*SELECT\b.*\bROWNUM\b", r"(?i)\bORDER\s+BY\b"),
+        ("ORA004", "INFO", r"(?i)\bNVL\s*\(", None),
+        ("ORA005", "INFO", r"(?i)\bDECODE\s*\(", None),
+        ("ORA006", "WARNING", r"(?i)\bVARCHAR\b(?!\s*2)", None),
+        ("ORA008", "WARNING", r"(?i)\bCONNECT\s+BY\b", r"(?i)\bSTART\s+WITH\b"),
+    ],
+}
 
 
 def strip(text: Column) -> Column:
@@ -43,43 +96,52 @@ def statement_kind(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*db\."), "MONGO").otherwise(F.upper(F.regexp_extract(text, r"^\s*(\w+)", 1)))
 
 
-def no_where(text: Column) -> Column:
-    """Code for a DELETE or UPDATE without WHERE, else null."""
-    bare = ~strip(text).rlike(r"(?i)\bWHERE\b")
-    kind = statement_kind(text)
-    return F.when((kind == "DELETE") & bare, "SEM-001").when((kind == "UPDATE") & bare, "SEM-002")
+def _contradictions(text: Column, plain: Column) -> list[tuple[str, str, Column]]:
+    """Rules that compare what a pattern's groups hold."""
+    number = lambda c: c.try_cast("int")
+    pairs = F.zip_with(F.regexp_extract_all(plain, F.lit(BETWEEN), F.lit(1)), F.regexp_extract_all(plain, F.lit(BETWEEN), F.lit(2)), lambda a, b: number(a) > number(b))
+    literals = text.rlike(CONTRADICTS) & (F.regexp_extract(text, CONTRADICTS, 2) != F.regexp_extract(text, CONTRADICTS, 3))
+    bounds = number(F.regexp_extract(plain, RANGE, 3)) <= number(F.regexp_extract(plain, RANGE, 2))
+    return [("SE-BETWEEN-INV", "WARNING", F.exists(pairs, lambda x: x)), ("SE-CONTRADICTS", "WARNING", literals), ("SE-RANGE-IMPOSSIBLE", "WARNING", bounds)]
 
 
-def findings(queries: DataFrame) -> DataFrame:
-    """(query_id, code, severity) for each rule that a statement of `queries` (query_id, text) breaks; one narrow pass."""
-    plain = queries.withColumn("plain", strip(F.col("text")))
+def judged(queries: DataFrame) -> DataFrame:
+    """`queries` (text, and dialect, if it is a column) with found: an array of (code, severity); one narrow pass.
+
+    The dialect's own rules count only for its statements; texts of engines that are not in DIALECTS break no rule. Without
+    the column, or where it is null, the generic rules count. A null text breaks none.
+    """
+    dialect = F.lower(F.col("dialect")) if "dialect" in queries.columns else F.lit(None).cast("string")
+    text, plain = F.coalesce(F.col("text"), F.lit("")), F.col("plain")
     hits = []
-    for code, severity, stripped, pattern in RULES:
-        hit = F.col("plain" if stripped else "text").rlike(pattern)
-        if code in UNLESS:
-            hit &= ~F.col("text").rlike(UNLESS[code])
+
+    def add(code: str, severity: str, hit: Column) -> None:
         hits.append(F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))))
-    hits.append(F.when(no_where(F.col("text")).isNotNull(), F.struct(no_where(F.col("text")).alias("code"), F.lit("ERROR").alias("severity"))))
-    inverted = F.regexp_extract("text", r"(?i)BETWEEN\s+(\d+)\s+AND\s+(\d+)", 1).try_cast("long") > F.regexp_extract("text", r"(?i)BETWEEN\s+(\d+)\s+AND\s+(\d+)", 2).try_cast("long")
-    hits.append(F.when(inverted, F.struct(F.lit("SE-BETWEEN-INV").alias("code"), F.lit("ERROR").alias("severity"))))
-    found = plain.select("query_id", F.explode(F.array_compact(F.array(*hits))).alias("f"))
-    return found.select("query_id", "f.code", "f.severity")
 
+    for code, severity, stripped, pattern, lifted in GENERIC:
+        hit = (plain if stripped else text).rlike(pattern)
+        if code == "SE007":
+            hit = hit | F.regexp_replace(text, STRIP[2][0], " ").rlike(STRUCTURAL)
+        # whether there is a WHERE or ORDER BY is asked of the stripped text, the join condition of the raw one
+        add(code, severity, hit if lifted is None else hit & ~(plain if stripped and code != "SE-CARTESIAN" else text).rlike(lifted))
+    for rule in _contradictions(text, plain):
+        add(*rule)
+    for name, rules in BY_DIALECT.items():
+        for code, severity, pattern, lifted in rules:
+            hit = (dialect == name) & text.rlike(pattern)
+            add(code, severity, hit if lifted is None else hit & ~text.rlike(lifted))
+    known = dialect.isNull() | dialect.isin(DIALECTS)
+    found = F.when(known, F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<struct<code:string,severity:string>>"))
+    return queries.withColumn("plain", strip(text)).withColumn("found", found).drop("plain")
 
-def findings_sql(corpus: str) -> str:
-    """The same in DuckDB's SQL."""
-    plain = "text"
-    for pattern, to in STRIP:
-        plain = f"regexp_replace({plain}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace(chr(39), chr(39) * 2)}', 'g')"
-    has = lambda col, p: f"regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}')"
-    rules = []
-    for code, severity, stripped, pattern in RULES:
-        hit = has("plain" if stripped else "text", pattern)
-        if code in UNLESS:
-            hit += f" AND NOT {has('text', UNLESS[code])}"
-        rules.append(f"SELECT query_id, '{code}' AS code, '{severity}' AS severity FROM q WHERE {hit}")
-    for kind, code in (("DELETE", "SEM-001"), ("UPDATE", "SEM-002")):
-        rules.append(f"SELECT query_id, '{code}', 'ERROR' FROM q WHERE {has('text', f'(?i)^{kind}')} AND NOT {has('plain', '(?i)' + chr(92) + 'bWHERE' + chr(92) + 'b')}")
-    pair = r"(?i)BETWEEN\s+(\d+)\s+AND\s+(\d+)"
-    rules.append(f"SELECT query_id, 'SE-BETWEEN-INV', 'ERROR' FROM q WHERE try_cast(regexp_extract(text, '{pair}', 1) AS BIGINT) > try_cast(regexp_extract(text, '{pair}', 2) AS BIGINT)")
-    return f"WITH c AS ({corpus}), q AS (SELECT query_id, text, {plain} AS plain FROM c) " + " UNION ALL ".join(rules)
+
+def findings(queries: DataFrame) -> DataFrame:
+    """(query_id, code, severity) for each rule that a statement of `queries` (query_id, text, dialect) breaks."""
+    return judged(queries).select("query_id", F.explode("found").alias("f")).select("query_id", "f.code", "f.severity")
+
+
+def validity(queries: DataFrame) -> DataFrame:
+    """(query_id, valid, errors, warnings), counted in each statement's own row: valid without an error."""
+    count = lambda severity: F.size(F.filter("found", lambda f: f["severity"] == severity)).cast("long")
+    counted = judged(queries).select("query_id", count("ERROR").alias("errors"), count("WARNING").alias("warnings"))
+    return counted.select("query_id", (F.col("errors") == 0).alias("valid"), "errors", "warnings")

@@ -59,7 +59,7 @@ SQL = {
     "cte": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000), few AS (SELECT o_custkey FROM big) SELECT o_custkey, count(*) AS n FROM few GROUP BY o_custkey",
     "cte_in_subquery": "SELECT n_name FROM nation WHERE n_nationkey IN (WITH x AS (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500) SELECT c_nationkey FROM x)",
     "cte_recursive": "WITH RECURSIVE t(n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM t WHERE n < 20) SELECT n, s FROM t",
-    "connect_by": "WITH RECURSIVE t(node, lvl) AS (SELECT CAST(1 AS BIGINT), 1 UNION ALL SELECT p.p_partkey, t.lvl + 1 FROM part p JOIN t ON (p.p_partkey - p.p_partkey % 2) / 2 = t.node WHERE p.p_partkey > 1 AND t.lvl < 6) SELECT node, lvl FROM t",
+    "connect_by": "WITH RECURSIVE t(node, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, ',1,' UNION ALL SELECT p.p_partkey, t.lvl + 1, concat(t.path, CAST(p.p_partkey AS STRING), ',') FROM part p JOIN t ON (p.p_partkey - p.p_partkey % 2) / 2 = t.node WHERE NOT contains(t.path, concat(',', CAST(p.p_partkey AS STRING), ','))) SELECT node, lvl FROM t",
     # aggregation
     "agg_count_star": "SELECT count(*) AS n FROM lineitem",
     "agg_count": "SELECT count(props) AS n FROM events",

@@ -49,8 +49,8 @@ SQL = {
     # history
     "hist_list": _history + "SELECT id, text, valid FROM h WHERE user_id = 7",
     "hist_fav": _history + "SELECT id, text FROM h WHERE user_id = 7 AND favourite",
-    "hist_valid": _history + "SELECT id FROM h WHERE user_id % 10 = 7 AND valid",
-    "hist_invalid": _history + "SELECT id FROM h WHERE user_id % 10 = 7 AND NOT valid",
+    "hist_valid": _history + "SELECT id, user_id FROM h WHERE valid ORDER BY id DESC",
+    "hist_invalid": _history + "SELECT id, user_id FROM h WHERE NOT valid ORDER BY id DESC",
     "hist_search": _history + "SELECT id FROM h WHERE trim(' CLICK ') <> '' AND contains(lower(text), lower(trim(' CLICK ')))",
     "hist_update": _history + "SELECT id, NOT favourite AS favourite, coalesce(nullif(trim(CASE WHEN id % 2 = 0 THEN ' ' ELSE 'new' END), ''), text) AS text FROM h",
     "hist_delete": _history + "SELECT id FROM h WHERE NOT (user_id = 7)",

@@ -2,40 +2,104 @@
 
 from __future__ import annotations
 
-#: A statement for each remainder of the order key; {k} stands for the key.
+#: For each remainder of the order key a dialect, a statement ({k} stands for the key) and, judged by hand,
+#: the rules that it breaks: a code with ! is an error, with ? a note, else a warning.
 STATEMENTS = [
-    "SELECT * FROM orders WHERE o_orderkey = {k}",
-    "DELETE FROM orders",
-    "UPDATE orders SET o_orderstatus = 'F'",
-    "SELECT c_name FROM customer WHERE c_name LIKE '%'",
-    "SELECT c_name FROM customer WHERE c_acctbal = NULL",
-    "SELECT o_orderkey FROM orders WHERE o_totalprice / 0 > {k}",
-    "SELECT o_orderkey FROM orders WHERE 1=1",
-    "SELECT o_orderkey FROM orders WHERE o_orderkey = o_orderkey LIMIT 5",
-    "SELECT o_orderkey FROM orders, lineitem WHERE o_totalprice > {k}",
-    "SELECT id FROM t WHERE name = 'a' OR '1'='1'",
-    "db.orders.find({{}})",
-    "GET user:{k}",
-    "SELECT a FROM t WHERE a IN (SELECT b FROM u)",
-    "SELECT DISTINCT o_orderstatus FROM orders ORDER BY o_orderstatus",
-    "DELETE FROM orders WHERE 1=1",
-    "SELECT name FROM t WHERE c = '' AND d BETWEEN 9 AND 2",
-]
+    ("mysql", "SELECT * FROM orders WHERE o_orderkey = {k}", ""),
+    ("mysql", "DELETE FROM orders", "SEM-001"),
+    ("sqlite", "UPDATE orders SET o_orderstatus = 'F'", "SEM-002"),
+    ("mysql", "SELECT c_name FROM customer WHERE c_name LIKE '%'", "SE-LIKE-ALL"),
+    ("oracle", "SELECT c_name FROM customer WHERE c_acctbal = NULL", "SE-NULL-EQUALS"),
+    ("mysql", "SELECT o_orderkey FROM orders WHERE o_totalprice / 0 > {k}", "SE-DIV-ZERO"),
+    ("mysql", "SELECT o_orderkey FROM orders WHERE 1=1", "SE-TAUTOLOGY"),
+    ("postgresql", "SELECT o_orderkey FROM orders WHERE o_orderkey = o_orderkey LIMIT 5", "SE-SELF-CMP SE010"),
+    ("mysql", "SELECT o_orderkey FROM orders, lineitem WHERE o_totalprice > {k}", "SE-CARTESIAN"),
+    ("mysql", "SELECT id FROM t WHERE name = 'a' OR '1'='1'", "SE007!"),
+    ("mongodb", "db.orders.find({{}})", ""),
+    ("redis", "GET user:{k}", ""),
+    ("sqlserver", "SELECT a FROM t WHERE a IN (SELECT b FROM u)", ""),
+    ("mysql", "SELECT DISTINCT o_orderstatus FROM orders ORDER BY o_orderstatus", ""),
+    ("mysql", "DELETE FROM orders WHERE 1=1", "SE-TAUTOLOGY SE-DANGER-SCOPE"),
+    ("mysql", "SELECT name FROM t WHERE c = '' AND d BETWEEN 9 AND 2", "SE-EMPTY-STR SE-BETWEEN-INV"),
+    ("mysql", "SELECT name FROM t WHERE d BETWEEN 2 AND 9 AND e BETWEEN 7 AND 3", "SE-BETWEEN-INV"),
+    ("mysql", "SELECT name FROM t WHERE name LIKE '%ab%'", "SE-LIKE-SHORT"),
+    ("mysql", "SELECT name FROM t WHERE name LIKE '%long%'", ""),
+    ("mysql", "SELECT name FROM t WHERE a IN ( )", "SE-EMPTY-IN"),
+    ("mysql", "SELECT name FROM t WHERE 1 = 0", "SE-IMPOSSIBLE"),
+    ("mysql", "SELECT name FROM t WHERE FALSE", "SE-IMPOSSIBLE"),
+    ("mysql", "SELECT name FROM t WHERE note = 'WHERE 1=1'", ""),
+    ("mysql", "SELECT name FROM t WHERE b = 'x' AND b = 'y'", "SE-CONTRADICTS"),
+    ("mysql", "SELECT name FROM t WHERE b = 'x' AND b = 'x'", ""),
+    ("mysql", "SELECT name FROM t WHERE n > 10 AND n < 5", "SE-RANGE-IMPOSSIBLE"),
+    ("mysql", "SELECT name FROM t WHERE n > 5 AND n < 10", ""),
+    ("postgresql", "INSERT INTO t VALUES (1, 2)", "SE-INSERT-NO-COLS"),
+    ("postgresql", "INSERT INTO t (a, b) VALUES (1, 2)", ""),
+    ("mysql", "SELECT a FROM t UNION SELECT b FROM u", "SE007!"),
+    ("mysql", "SELECT a FROM t WHERE b = 2 OR 3 = 3", "SE007!"),
+    ("mysql", "SELECT a FROM t WHERE b = 'x'; DROP TABLE t", "SE007!"),
+    ("mysql", "SELECT a FROM t, u WHERE t.id = u.id", ""),
+    ("mysql", "SELECT * FROM t JOIN u ON t.id = u.id", "SE004"),
+    ("mysql", "INSERT INTO t (a) VALUES (1) ON DUPLICATE KEY UPDATE a = 2", "MY001"),
+    ("sqlite", "INSERT INTO t (a) VALUES (1) ON DUPLICATE KEY UPDATE a = 2", ""),
+    ("mysql", "SELECT a FROM t LIMIT 3", "SE010 MY003"),
+    ("mysql", "SELECT a FROM t ORDER BY a LIMIT 3", ""),
+    ("mysql", "SELECT PASSWORD(a) FROM t", "MY004"),
+    ("postgresql", "SELECT PASSWORD(a) FROM t", ""),
+    ("mysql", "SELECT j.x FROM JSON_TABLE(doc) AS j", "MY005?"),
+    ("postgresql", "SELECT a FROM t WHERE a ILIKE 'some%'", "PG001?"),
+    ("mysql", "SELECT a FROM t WHERE a ILIKE 'some%'", ""),
+    ("postgresql", "CREATE TABLE t (id SERIAL)", "PG003?"),
+    ("postgresql", "WITH RECURSIVE r AS (SELECT 1) SELECT n FROM r", "PG006!"),
+    ("sqlite", "SELECT a FROM t RIGHT JOIN u ON t.id = u.id", "LT001!"),
+    ("oracle", "SELECT a FROM t RIGHT JOIN u ON t.id = u.id", ""),
+    ("sqlite", "ALTER TABLE t DROP COLUMN a", "LT002!"),
+    ("sqlite", "CREATE TABLE t (a INT REFERENCES u (id))", "LT003"),
+    ("sqlite", "CREATE TABLE t (a DATETIME)", "LT004?"),
+    ("sqlite", "SELECT sum(a) OVER (PARTITION BY b) FROM t", "LT005?"),
+    ("postgresql", "SELECT sum(a) OVER (PARTITION BY b) FROM t", ""),
+    ("sqlite", "CREATE TABLE t (a INT) WITHOUT ROWID", "LT006!"),
+    ("sqlserver", "SELECT TOP 5 a FROM t", "SS001"),
+    ("sqlserver", "SELECT a FROM t WITH (NOLOCK)", "SS002"),
+    ("sqlserver", "SELECT a INTO #x FROM t", "SS003?"),
+    ("sqlserver", "DECLARE c CURSOR FOR SELECT a FROM t", "SS004"),
+    ("sqlserver", "MERGE t USING u ON t.id = u.id WHEN MATCHED THEN DELETE", "SS006?"),
+    ("sqlserver", "SELECT @@IDENTITY", "SS007"),
+    ("sqlserver", "CREATE TABLE t (a NTEXT)", "SS008"),
+    ("oracle", "SELECT a FROM t WHERE ROWNUM > 5 ORDER BY a", "ORA002"),
+    ("oracle", "SELECT a FROM t WHERE ROWNUM < 5", "ORA003"),
+    ("oracle", "SELECT NVL(a, 0) FROM t", "ORA004?"),
+    ("oracle", "SELECT DECODE(a, 1, 2) FROM t", "ORA005?"),
+    ("oracle", "CREATE TABLE t (a VARCHAR(5))", "ORA006"),
+    ("oracle", "CREATE TABLE t (a VARCHAR2(5))", ""),
+    ("oracle", "SELECT a FROM t CONNECT BY PRIOR a = b", "ORA008"),
+]
+
+#: Severity by the mark behind a code above.
+MARKS = {"!": "ERROR", "?": "INFO"}
 
 
 def query_corpus() -> str:
-    """SQL for (query_id, text), the same in Spark and DuckDB."""
+    """SQL for (query_id, text, dialect), the same in Spark and DuckDB."""
     def text(s: str) -> str:
         quoted = s.replace("{{", "{").replace("}}", "}").replace("'", "''") if "{k}" not in s else s.replace("'", "''")
         parts = [f"'{p}'" for p in quoted.split("{k}")]
         return parts[0] if len(parts) == 1 else f"concat({', CAST(o_orderkey AS STRING), '.join(parts)})"
 
-    cases = " ".join(f"WHEN {i} THEN {text(s)}" for i, s in enumerate(STATEMENTS))
-    return f"SELECT o_orderkey AS query_id, CASE o_orderkey % {len(STATEMENTS)} {cases} END AS text FROM orders"
+    n = len(STATEMENTS)
+    texts = " ".join(f"WHEN {i} THEN {text(s)}" for i, (_, s, _) in enumerate(STATEMENTS))
+    dialects = " ".join(f"WHEN {i} THEN '{d}'" for i, (d, _, _) in enumerate(STATEMENTS))
+    return f"SELECT o_orderkey AS query_id, CASE o_orderkey % {n} {texts} END AS text, CASE o_orderkey % {n} {dialects} END AS dialect FROM orders"
+
+
+def expected_findings() -> str:
+    """DuckDB's SQL for (query_id, code, severity), from what was judged by hand."""
+    rows = [(i, c.rstrip("!?"), MARKS.get(c[-1], "WARNING")) for i, (_, _, codes) in enumerate(STATEMENTS) for c in codes.split()]
+    values = ", ".join(f"({i}, '{c}', '{s}')" for i, c, s in rows)
+    return f"SELECT o_orderkey AS query_id, code, severity FROM orders JOIN (VALUES {values}) e(slot, code, severity) ON o_orderkey % {len(STATEMENTS)} = e.slot"
 
 
 def script_corpus() -> str:
-    """SQL for (script_id, stmt_no, kind): a script for each customer, its statements in order of the order key."""
-    kinds = ["BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "DML", "SELECT"]
+    """SQL for (script_id, stmt_no, kind, name): a script for each customer, its statements in order of the order key."""
+    kinds = ["BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT", "DML", "SAVEPOINT", "ROLLBACK TO"]
     cases = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds))
-    return f"SELECT o_custkey AS script_id, o_orderkey AS stmt_no, CASE o_orderkey % 6 {cases} END AS kind FROM orders"
+    return f"SELECT o_custkey AS script_id, o_orderkey AS stmt_no, CASE o_orderkey % 7 {cases} END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'S1' ELSE 's1' END AS name FROM orders"

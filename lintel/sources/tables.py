@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -14,7 +16,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """`text` over the tables of `sf_dir`; only tables that it names become views."""
     for name in TABLES:
-        if name in text:
+        if re.search(rf"\b{name}\b", text):
             load(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(text)
 
