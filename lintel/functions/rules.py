@@ -84,6 +84,9 @@ BY_DIALECT = {
 }
 
 
+FOUND = "array<struct<code:string,severity:string>>"
+
+
 def strip(text: Column) -> Column:
     """`text` without string literals and comments."""
     for pattern, to in STRIP:
@@ -112,32 +115,37 @@ def judged(queries: DataFrame) -> DataFrame:
     the column, or where it is null, the generic rules count. A null text breaks none.
     """
     dialect = F.lower(F.col("dialect")) if "dialect" in queries.columns else F.lit(None).cast("string")
-    text, plain = F.coalesce(F.col("text"), F.lit("")), F.col("plain")
-    hits = []
-
-    def add(code: str, severity: str, hit: Column) -> None:
-        hits.append(F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))))
-
-    for code, severity, stripped, pattern, lifted in GENERIC:
-        hit = (plain if stripped else text).rlike(pattern)
-        if code == "SE007":
-            hit = hit | F.regexp_replace(text, STRIP[2][0], " ").rlike(STRUCTURAL)
-        # whether there is a WHERE or ORDER BY is asked of the stripped text, the join condition of the raw one
-        add(code, severity, hit if lifted is None else hit & ~(plain if stripped and code != "SE-CARTESIAN" else text).rlike(lifted))
-    for rule in _contradictions(text, plain):
-        add(*rule)
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def hits(plain: Column) -> Column:
+        found = []
+        for code, severity, stripped, pattern, lifted in GENERIC:
+            hit = (plain if stripped else text).rlike(pattern)
+            if code == "SE007":
+                hit = hit | F.regexp_replace(text, STRIP[2][0], " ").rlike(STRUCTURAL)
+            # whether there is a WHERE or ORDER BY is asked of the stripped text, the join condition of the raw one
+            found.append(_hit(code, severity, hit if lifted is None else hit & ~(plain if stripped and code != "SE-CARTESIAN" else text).rlike(lifted)))
+        found += [_hit(*rule) for rule in _contradictions(text, plain)]
+        return F.array(*found)
+
+    own = F.lit(None).cast(FOUND)
     for name, rules in BY_DIALECT.items():
-        for code, severity, pattern, lifted in rules:
-            hit = (dialect == name) & text.rlike(pattern)
-            add(code, severity, hit if lifted is None else hit & ~text.rlike(lifted))
+        rows = [_hit(code, severity, text.rlike(pattern) if lifted is None else text.rlike(pattern) & ~text.rlike(lifted)) for code, severity, pattern, lifted in rules]
+        own = F.when(dialect == name, F.array(*rows)).otherwise(own)
+    # within a lambda the stripped text is made once, not for each rule that reads it
+    generic = F.element_at(F.transform(F.array(strip(text)), hits), 1)
     known = dialect.isNull() | dialect.isin(DIALECTS)
-    found = F.when(known, F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<struct<code:string,severity:string>>"))
-    return queries.withColumn("plain", strip(text)).withColumn("found", found).drop("plain")
+    return queries.withColumn("found", F.when(known, F.array_compact(F.concat(generic, F.coalesce(own, F.array().cast(FOUND))))).otherwise(F.array().cast(FOUND)))
+
+
+def _hit(code: str, severity: str, hit: Column) -> Column:
+    return F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
 
 
 def findings(queries: DataFrame) -> DataFrame:
     """(query_id, code, severity) for each rule that a statement of `queries` (query_id, text, dialect) breaks."""
-    return judged(queries).select("query_id", F.explode("found").alias("f")).select("query_id", "f.code", "f.severity")
+    # outer, so that no filter on the array makes it twice
+    return judged(queries).select("query_id", F.explode_outer("found").alias("f")).where("f is not null").select("query_id", "f.code", "f.severity")
 
 
 def validity(queries: DataFrame) -> DataFrame:
