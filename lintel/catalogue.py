@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.functions import rules
+from lintel.functions import advice, rules
 from lintel.operators import documents, nosql, relational
 from lintel.plans import analysis, corpus, scripts
 from lintel.sources.tables import run_sql
@@ -61,6 +61,26 @@ def an_custom_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("query_id", F.when(F.col("valid"), 100).otherwise(F.greatest(F.lit(0), 100 - 25 * F.col("errors"))).cast("long").alias("score"))
 
 
+def an_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.optimize(run_sql(spark, sf_dir, corpus.advised_corpus()))
+
+
+def group_non_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advice.ungrouped(run_sql(spark, sf_dir, corpus.advised_corpus()))
+
+
+def diff_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, corpus.compared_corpus()).select("query_id", advice.similarity(F.col("a"), F.col("b")).alias("score"))
+
+
+def gen_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, corpus.slotted(corpus.PARTIAL, 0)).select("query_id", advice.complete(F.col("text"), corpus.SCHEMA).alias("text"))
+
+
+def gen_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, corpus.slotted(corpus.DESCRIBED, 0)).select("query_id", advice.suggest(F.col("text"), corpus.SCHEMA).alias("text"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an_findings(spark, sf_dir)
 
@@ -72,6 +92,14 @@ SELECT query_id, count(*) FILTER (severity = 'ERROR') = 0 AS valid, count(*) FIL
        count(*) FILTER (severity = 'WARNING') AS warnings
 FROM (SELECT query_id, severity FROM ({_found}) UNION ALL SELECT o_orderkey, NULL FROM orders) GROUP BY query_id"""
 
+_similarity = f"""
+WITH p AS (SELECT query_id, [trim(x) FOR x IN string_split(a, chr(10)) IF trim(x) <> ''] AS la, [trim(x) FOR x IN string_split(b, chr(10)) IF trim(x) <> ''] AS lb,
+  list_distinct([regexp_replace(x, '[^a-z0-9_*$.-]', '', 'g') FOR x IN regexp_split_to_array(lower(a), '\\s+')]) AS wa,
+  list_distinct([regexp_replace(x, '[^a-z0-9_*$.-]', '', 'g') FOR x IN regexp_split_to_array(lower(b), '\\s+')]) AS wb FROM ({corpus.compared_corpus().replace("STRING", "VARCHAR")})),
+w AS (SELECT query_id, la, lb, [x FOR x IN wa IF x <> ''] AS wa, [x FOR x IN wb IF x <> ''] AS wb FROM p)
+SELECT query_id, CAST(floor(100 * greatest(len([x FOR x IN la IF list_contains(lb, x)]) / greatest(len(la), len(lb), 1),
+  len(list_intersect(wa, wb)) / greatest(len(wa), len(wb), 1)) + 0.5) AS BIGINT) AS score FROM w"""
+
 
 def _strip_sql() -> str:
     plain = "text"
@@ -83,7 +111,7 @@ def _strip_sql() -> str:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {k: _sql_query(v) for k, v in (relational.SQL | nosql.SQL | analysis.SQL).items()}
-    return found | relational.QUERIES | documents.QUERIES | windows.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health)}
+    return found | relational.QUERIES | documents.QUERIES | windows.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health, an_optimize, group_non_agg, diff_similarity, gen_complete, gen_suggest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -100,6 +128,11 @@ def oracle_sql() -> dict[str, str]:
             "an_validity": _valid,
             "an_stmt_kind": f"SELECT CASE WHEN starts_with(text, 'db.') THEN 'MONGO' ELSE upper(regexp_extract(text, '^\\s*(\\w+)', 1)) END AS kind, count(*) AS n FROM ({_corpus}) GROUP BY 1",
             "an_strip": _strip_sql(),
+            "an_optimize": corpus.expected_advice(),
+            "group_non_agg": corpus.expected_ungrouped(),
+            "gen_complete": corpus.slotted(corpus.PARTIAL, 1),
+            "gen_suggest": corpus.slotted(corpus.DESCRIBED, 1),
+            "diff_similarity": _similarity,
             "an_script_flag": f"SELECT CAST(floor(query_id / 16) AS BIGINT) AS script_id, count(*) AS blocking, 'SCR-MULTI-001' AS code FROM ({_valid}) WHERE NOT valid GROUP BY 1 HAVING count(*) >= 2",
             "an_custom_health": f"SELECT query_id, CAST(CASE WHEN valid THEN 100 ELSE greatest(0, 100 - 25 * errors) END AS BIGINT) AS score FROM ({_valid})",
             "an_tcl": scripts.TRANSACTION_SQL.format(corpus=corpus.script_corpus()),

@@ -78,17 +78,80 @@ STATEMENTS = [
 MARKS = {"!": "ERROR", "?": "INFO"}
 
 
-def query_corpus() -> str:
-    """SQL for (query_id, text, dialect), the same in Spark and DuckDB."""
+#: Statements of MySQL and, judged by hand, the suggestions for each in their order, and the fields that it
+#: selects beside GROUP BY without grouping by them.
+ADVISED = [
+    ("SELECT * FROM orders WHERE o_orderkey = {k}", "OPT-001 OPT-003", ""),
+    ("SELECT a FROM t WHERE b = {k} LIMIT 10", "", ""),
+    ("SELECT count(*) FROM t LIMIT 10", "", ""),
+    ("SELECT a, t.* FROM t LIMIT 10", "OPT-001", ""),
+    ("SELECT a * b FROM t LIMIT 10", "", ""),
+    ("SELECT t.a FROM t, u WHERE t.id = u.id LIMIT 10", "OPT-004", ""),
+    ("SELECT t.a FROM t AS x, u WHERE t.n > 5 LIMIT 10", "OPT-008", ""),
+    ("SELECT a FROM t WHERE a IN (SELECT b FROM u LIMIT 3)", "OPT-005 OPT-003", ""),
+    ("SELECT a FROM t WHERE a NOT IN (SELECT b FROM u) LIMIT 5", "OPT-005 OPT-009", ""),
+    ("SELECT a FROM t WHERE EXISTS (SELECT b FROM u ORDER BY b) LIMIT 5", "OPT-005 OPT-010", ""),
+    ("SELECT a FROM t WHERE a = NULL LIMIT 5", "OPT-006", ""),
+    ("UPDATE t SET a = NULL WHERE b = 1", "", ""),
+    ("SELECT a FROM t WHERE a >= 1 AND b LIKE '%x'", "OPT-011 OPT-003", ""),
+    ("SELECT a FROM t WHERE b = 'LIMIT 5'", "OPT-003", ""),
+    ("SELECT a, sum(b) FROM t GROUP BY a LIMIT 5", "", ""),
+    ("SELECT a, b, sum(c) AS s FROM t GROUP BY a LIMIT 5", "", "b"),
+    ("SELECT t.a AS x, B y, coalesce(c, max(d), e) FROM t GROUP BY T.A ORDER BY 1 LIMIT 5", "", "b"),
+    ("SELECT a, b, c FROM t WHERE d = {k} GROUP BY a HAVING count(*) > 1", "OPT-003", "b c"),
+]
+
+
+def query_corpus(statements: list[tuple[str, str, str]] = STATEMENTS, shift: int = 0) -> str:
+    """SQL for (query_id, text, dialect), the same in Spark and DuckDB; `shift` gives each key a later one's statement."""
     def text(s: str) -> str:
         quoted = s.replace("{{", "{").replace("}}", "}").replace("'", "''") if "{k}" not in s else s.replace("'", "''")
         parts = [f"'{p}'" for p in quoted.split("{k}")]
         return parts[0] if len(parts) == 1 else f"concat({', CAST(o_orderkey AS STRING), '.join(parts)})"
 
-    n = len(STATEMENTS)
-    texts = " ".join(f"WHEN {i} THEN {text(s)}" for i, (_, s, _) in enumerate(STATEMENTS))
-    dialects = " ".join(f"WHEN {i} THEN '{d}'" for i, (d, _, _) in enumerate(STATEMENTS))
-    return f"SELECT o_orderkey AS query_id, CASE o_orderkey % {n} {texts} END AS text, CASE o_orderkey % {n} {dialects} END AS dialect FROM orders"
+    slot = f"(o_orderkey + {shift}) % {len(statements)}"
+    texts = " ".join(f"WHEN {i} THEN {text(s)}" for i, (_, s, _) in enumerate(statements))
+    dialects = " ".join(f"WHEN {i} THEN '{d}'" for i, (d, _, _) in enumerate(statements))
+    return f"SELECT o_orderkey AS query_id, CASE {slot} {texts} END AS text, CASE {slot} {dialects} END AS dialect FROM orders"
+
+
+def advised_corpus() -> str:
+    return query_corpus([("mysql", s, codes) for s, codes, _ in ADVISED])
+
+
+def expected_advice() -> str:
+    """DuckDB's SQL for (query_id, place, code, impact), from what was judged by hand."""
+    impact = {"OPT-003": "MEDIUM", "OPT-004": "MEDIUM", "OPT-009": "MEDIUM", "OPT-010": "LOW"}
+    values = ", ".join(f"({i}, {at}, '{c}', '{impact.get(c, 'HIGH')}')" for i, (_, codes, _) in enumerate(ADVISED) for at, c in enumerate(codes.split(), 1))
+    return f"SELECT o_orderkey AS query_id, CAST(place AS BIGINT) AS place, code, impact FROM orders JOIN (VALUES {values}) e(slot, place, code, impact) ON o_orderkey % {len(ADVISED)} = e.slot"
+
+
+def expected_ungrouped() -> str:
+    """DuckDB's SQL for (query_id, code, field), from what was judged by hand."""
+    values = ", ".join(f"({i}, '{f}')" for i, (_, _, fields) in enumerate(ADVISED) for f in fields.split())
+    return f"SELECT o_orderkey AS query_id, 'MY002' AS code, field FROM orders JOIN (VALUES {values}) e(slot, field) ON o_orderkey % {len(ADVISED)} = e.slot"
+
+
+def compared_corpus() -> str:
+    """SQL for (query_id, a, b): each statement beside the next one, every third time with a line of its own besides."""
+    after = "CASE WHEN a.query_id % 3 = 0 THEN concat(b.text, chr(10), '  ', a.text) ELSE b.text END"
+    return f"SELECT a.query_id, a.text AS a, {after} AS b FROM ({query_corpus()}) a JOIN ({query_corpus(shift=1)}) b ON a.query_id = b.query_id"
+
+
+#: Partial statements with what completes them, and descriptions with what is suggested for them.
+PARTIAL = [("", "SELECT * FROM "), ("Sel", "SELECT * FROM "), ("SELECT n_name FROM ", "SELECT n_name FROM nation"), ("SELECT a FROM region WHERE ", "SELECT a FROM region WHERE r_regionkey"),
+           ("SELECT a FROM other WHERE ", "SELECT a FROM other WHERE column_name"), ("SELECT a FROM region JOIN ", "SELECT a FROM region JOIN nation ON nation.id = "), ("SELECT a", "SELECT a /* continue your query */")]
+DESCRIBED = [("  ", "-- Describe what you need"), ("Insert a nation", "INSERT INTO nation (column1, column2) VALUES (?, ?);"), ("actualizar", "UPDATE nation SET column1 = ? WHERE id = ?;"),
+             ("DELETE old ones", "DELETE FROM nation WHERE id = ?;"), ("all nations", "SELECT n_nationkey, n_name FROM nation WHERE /* add your condition */;")]
+
+#: Columns by table for completion and suggestion.
+SCHEMA = {"nation": ["n_nationkey", "n_name"], "region": ["r_regionkey", "r_name"]}
+
+
+def slotted(pairs: list[tuple[str, str]], at: int) -> str:
+    """SQL for (query_id, text): of each order the first or second text of its key's pair."""
+    cases = " ".join(f"WHEN {i} THEN '{p[at]}'" for i, p in enumerate(pairs))
+    return f"SELECT o_orderkey AS query_id, CASE o_orderkey % {len(pairs)} {cases} END AS text FROM orders"
 
 
 def expected_findings() -> str:
