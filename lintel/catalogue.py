@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import advice, rules
 from lintel.operators import documents, nosql, relational
-from lintel.plans import analysis, corpus, scripts
+from lintel.plans import analysis, corpus, scripts, stores
 from lintel.sources.tables import run_sql
 from lintel.streaming import windows
 
@@ -111,7 +111,7 @@ def _strip_sql() -> str:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {k: _sql_query(v) for k, v in (relational.SQL | nosql.SQL | analysis.SQL).items()}
-    return found | relational.QUERIES | documents.QUERIES | windows.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health, an_optimize, group_non_agg, diff_similarity, gen_complete, gen_suggest)}
+    return found | relational.QUERIES | documents.QUERIES | windows.QUERIES | stores.QUERIES | {f.__name__: f for f in (an_findings, an_validity, an_stmt_kind, an_strip, an_tcl, an_health, an_script_flag, an_custom_health, an_optimize, group_non_agg, diff_similarity, gen_complete, gen_suggest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -123,6 +123,7 @@ def oracle_sql() -> dict[str, str]:
         | documents.ORACLE
         | analysis.ORACLE
         | windows.ORACLE
+        | stores.ORACLE
         | {
             "an_findings": _found,
             "an_validity": _valid,

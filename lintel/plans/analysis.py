@@ -69,7 +69,6 @@ SQL = {
     "es_geo": f"SELECT floor({_lat} / 10.0) AS cell_lat, floor({_lon} / 10.0) AS cell_lon, count(*) AS n FROM events GROUP BY 1, 2",
     "redis_geo": f"SELECT event_id, round({_km}, 3) AS km FROM events WHERE {_km} BETWEEN 500 AND 1500",
     # key-value and wide-column scripts
-    "redis_tx": "SELECT o_custkey AS script_id, 'RDS-TX-002' AS code FROM orders GROUP BY o_custkey HAVING sum(CASE WHEN o_orderkey % 7 = 1 THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) = 0",
     "redis_hll_exact": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "cql_dcl": "SELECT c_custkey AS role_id, length(c_mktsegment) < 9 AS weak FROM customer",
     "es_agg_depth": "SELECT p_partkey, p_size % 7 AS depth, p_size % 7 > 4 AS too_deep FROM part",
